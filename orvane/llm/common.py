@@ -71,3 +71,9 @@ def sorted_by_range(df: DataFrame, per_task: int, rows: int, *keys: str) -> Data
     """Range-partition on ``keys`` into parts of about ``per_task`` rows and sort each."""
     tasks = max(1, -(-rows // max(1, per_task)), shuffle_tasks(df.sparkSession) if rows > per_task else 1)
     return df.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that Python workers get, in rows and in bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import sharding, url_filter
+from . import chat, quality, sharding, url_filter
 
 
 def queries():
     return {
+        "op5_chat_format": chat.op5_chat_format,
+        "op7_weak_supervision": quality.op7_weak_supervision,
         "op9_feistel_shards": sharding.op9_feistel_shards,
         "op10_url_reputation": url_filter.op10_url_reputation,
     }
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op5_chat_format": chat.SQL,
+    }
