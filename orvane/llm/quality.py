@@ -109,8 +109,8 @@ def fitted(counts: dict[int, int], n_rules: int, rounds: int = 40) -> dict[int,
             g = g1 + sum(counts[p] * post[p] for p, v in votes.items() if v[k] == 2)
             b2 = sum(counts[p] * (1 - post[p]) for p, v in votes.items() if v[k] == 2)
             b = b2 + sum(counts[p] * (1 - post[p]) for p, v in votes.items() if v[k] == 1)
-            # a rule is taken to be right on most good documents, and to fire on bad ones more than on good ones
-            good[k] = min(0.9995, max(0.9, (g1 + 9.98) / (g + 10)))
+            # the limits are set so wide that a good document trips a rule in 3 of 1000 cases at most; bad ones trip it more often
+            good[k] = min(0.9995, max(0.997, (g1 + 9.98) / (g + 10)))
             bad[k] = min(0.95, max(2 * (1 - good[k]), 0.05, (b2 + 2) / (b + 10)))
     return post
 
