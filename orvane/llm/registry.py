@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, quality, sharding, url_filter
+from . import chat, quality, sharding, token_files, url_filter, warc
 
 
 def queries():
     return {
+        "op4_warc": warc.op4_warc,
         "op5_chat_format": chat.op5_chat_format,
         "op7_weak_supervision": quality.op7_weak_supervision,
+        "op8_token_files": token_files.op8_token_files,
         "op9_feistel_shards": sharding.op9_feistel_shards,
         "op10_url_reputation": url_filter.op10_url_reputation,
     }
