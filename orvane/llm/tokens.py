@@ -12,11 +12,14 @@ from __future__ import annotations
 
 import os
 import threading
+from array import array
 
 import numpy as np
 
-#: Entries after which a worker's memo is emptied; some 100 bytes each.
-MEMO = 400_000
+#: Entries after which a worker's memo is emptied; some 200 bytes each.
+MEMO = 1_200_000
+#: Longer pieces are encoded each time.
+LONG = 64
 _LOCK = threading.Lock()
 _KEPT: dict[str, BpeEncoder] = {}
 
@@ -27,8 +30,47 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_signs() -> dict[int, str]:
+    """The printable sign that byte-level BPE uses for each byte: itself where it is printable, else the next free one from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class _Pieces(dict):
+    """Ids of pre-tokens; a missing one is encoded by the library's model."""
+
+    def __init__(self, model, kind: str):
+        self.model, self.kind, self.signs = model, kind, byte_signs()
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.signs))
+        out = array(self.kind, [t.id for t in found]).tobytes()
+        if len(piece) <= LONG:
+            self[piece] = out
+        return out
+
+
+class _Chunks(dict):
+    """Ids of chunks that follow ``lead``; None for a chunk at whose ends a cut would be wrong."""
+
+    def __init__(self, lead: str, pieces: _Pieces, cut):
+        self.lead, self.pieces, self.cut = lead, pieces, cut
+
+    def __missing__(self, chunk: str) -> bytes | None:
+        if not chunk:
+            out = None if self.lead else b""
+        elif chunk[0].isspace() or chunk[-1].isspace():
+            out = None
+        else:
+            out = b"".join(map(self.pieces.__getitem__, self.cut(self.lead + chunk)))
+        if len(chunk) <= LONG:
+            self[chunk] = out
+        return out
+
+
 class BpeEncoder:
-    """Encodes texts to little-endian unsigned 16- or 32-bit ids.  Special strings in a text are ordinary text."""
+    """Encodes texts to unsigned 16- or 32-bit ids (little-endian hosts).  Special strings in a text are ordinary text."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,58 +80,32 @@ class BpeEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 65_536 else "<u4")
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.pieces: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {"": b""}
-        self.later: dict[str, bytes | None] = {"": None}
-        self.breaks = self._whole("\n")
-
-    def _ids(self, encoding) -> bytes:
-        return np.array(encoding.ids, self.dtype).tobytes()
-
-    def _whole(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            found = self.pieces[piece] = self._ids(self.library.encode(piece, add_special_tokens=False))
-        return found
-
-    def _cut(self, text: str) -> bytes:
-        return b"".join(map(self._whole, self.pattern.findall(text)))
-
-    def _learn(self, words: list[str]) -> None:
-        """Enter a line's chunks in the memo; None marks a chunk at which a cut would be wrong."""
-        later, first = self.later, self.first
-        new = [w for w in words[1:] if w not in later]
-        if words[0] not in first:
-            first[words[0]] = self._cut(words[0]) if not (words[0][0].isspace() or words[0][-1].isspace()) else None
-        if new:
-            todo = dict.fromkeys(p for w in new if not (w[0].isspace() or w[-1].isspace()) for p in self.pattern.findall(" " + w) if p not in self.pieces)
-            for p, e in zip(todo, self.library.encode_batch_fast(list(todo), add_special_tokens=False), strict=True):
-                self.pieces[p] = self._ids(e)
-            for w in new:
-                later[w] = None if w[0].isspace() or w[-1].isspace() else self._cut(" " + w)
+        small = self.library.get_vocab_size() <= 65_536
+        self.dtype = np.dtype("<u2" if small else "<u4")
+        self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        self.pieces = _Pieces(self.library.model, "H" if small else "I")
+        self.first, self.later = _Chunks("", self.pieces, self.cut), _Chunks(" ", self.pieces, self.cut)
+        self.breaks = self.pieces["\n"]
+
+    def _whole(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.cut(text)))
 
     def encode(self, text: str) -> bytes:
-        if len(self.later) + len(self.pieces) > MEMO:
-            self.pieces.clear()
-            self.first.clear()
-            self.later.clear()
-            self.first[""], self.later[""] = b"", None
-        later, first, out = self.later, self.first, []
-        lines = text.split("\n")
-        if len(lines) > 1 and ("" in lines):
-            return self._cut(text)
+        if len(self.later) + len(self.first) + len(self.pieces) > MEMO:
+            for memo in (self.pieces, self.first, self.later):
+                memo.clear()
+        out, lines = [], text.split("\n")
+        if len(lines) > 1 and "" in lines:
+            return self._whole(text)
         for line in lines:
             words = line.split(" ")
+            if words[0] == "" and len(words) > 1:
+                return self._whole(text)
+            head = self.first[words[0]]
             try:
-                ids = [first[words[0]], *map(later.__getitem__, words[1:])]
-            except KeyError:
-                self._learn(words)
-                ids = [first[words[0]], *map(later.__getitem__, words[1:])]
-            if None in ids or (words[0] == "" and len(words) > 1):
-                return self._cut(text)
-            out.append(b"".join(ids))
+                out.append(head + b"".join(map(self.later.__getitem__, words[1:])))
+            except TypeError:  # a None among them
+                return self._whole(text)
         return self.breaks.join(out)
 
 
