@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, quality, sharding, token_files, url_filter, warc
+from . import chat, decontaminate, quality, sharding, token_files, url_filter, warc
 
 
 def queries():
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op4_warc": warc.op4_warc,
         "op5_chat_format": chat.op5_chat_format,
         "op7_weak_supervision": quality.op7_weak_supervision,
@@ -18,5 +19,6 @@ def queries():
 
 def oracle_sql():
     return {
+        "op1_decontaminate": decontaminate.SQL,
         "op5_chat_format": chat.SQL,
     }
