@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, quality, sharding, token_files, url_filter, warc
+from . import chat, decontaminate, packing, quality, sharding, token_files, url_filter, warc
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op4_warc": warc.op4_warc,
         "op5_chat_format": chat.op5_chat_format,
+        "op6_retrieval_packing": packing.op6_retrieval_packing,
         "op7_weak_supervision": quality.op7_weak_supervision,
         "op8_token_files": token_files.op8_token_files,
         "op9_feistel_shards": sharding.op9_feistel_shards,
