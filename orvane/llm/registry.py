@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, packing, quality, sharding, token_files, url_filter, warc
+from . import chat, decontaminate, jaccard, packing, quality, sharding, token_files, url_filter, warc
 
 
 def queries():
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_warc": warc.op4_warc,
         "op5_chat_format": chat.op5_chat_format,
         "op6_retrieval_packing": packing.op6_retrieval_packing,
@@ -21,5 +22,6 @@ def queries():
 def oracle_sql():
     return {
         "op1_decontaminate": decontaminate.SQL,
+        "op3_jaccard_join": jaccard.SQL,
         "op5_chat_format": chat.SQL,
     }
