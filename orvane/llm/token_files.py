@@ -8,7 +8,7 @@ some documents, without the rest.  A manifest row for each file gives its
 place in the global order.
 
 Nulls and odd input: a null text is empty and yields the end id alone; null
-keys come first; rows with equal keys are kept, ordered by text; an empty table
+keys come first; rows with equal keys are kept, ordered by a hash of the text; an empty table
 gives no files and an empty result; further columns are ignored.
 """
 
@@ -46,7 +46,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     per_task = max(1, rows * part_bytes // max(size, 1))
     spark = docs.sparkSession
     small_batches(spark)
-    parts = sorted_by_range(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), per_task, rows, "doc_id", "text")
+    parts = sorted_by_range(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("mix")), per_task, rows, "doc_id", "mix")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -16,8 +16,8 @@ from array import array
 
 import numpy as np
 
-#: Entries after which a worker's memo is emptied; some 200 bytes each.
-MEMO = 1_200_000
+#: Entries of a memo after which it ages: it is the old one then, and what is used from there comes into the new one.
+MEMO = 120_000
 #: Longer pieces are encoded each time.
 LONG = 64
 _LOCK = threading.Lock()
@@ -37,36 +37,49 @@ def byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class _Pieces(dict):
+class _Memo(dict):
+    """Values by key, made by ``made`` where missing; holds two generations of entries."""
+
+    def __init__(self):
+        self.old: dict = {}
+
+    def __missing__(self, key: str):
+        out = self.old[key] if key in self.old else self.made(key)
+        if len(key) <= LONG:
+            self[key] = out
+        return out
+
+    def age(self) -> None:
+        if len(self) > MEMO:
+            self.old = dict(self)
+            self.clear()
+
+
+class _Pieces(_Memo):
     """Ids of pre-tokens; a missing one is encoded by the library's model."""
 
     def __init__(self, model, kind: str):
+        super().__init__()
         self.model, self.kind, self.signs = model, kind, byte_signs()
 
-    def __missing__(self, piece: str) -> bytes:
+    def made(self, piece: str) -> bytes:
         found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.signs))
-        out = array(self.kind, [t.id for t in found]).tobytes()
-        if len(piece) <= LONG:
-            self[piece] = out
-        return out
+        return array(self.kind, [t.id for t in found]).tobytes()
 
 
-class _Chunks(dict):
+class _Chunks(_Memo):
     """Ids of chunks that follow ``lead``; None for a chunk at whose ends a cut would be wrong."""
 
     def __init__(self, lead: str, pieces: _Pieces, cut):
+        super().__init__()
         self.lead, self.pieces, self.cut = lead, pieces, cut
 
-    def __missing__(self, chunk: str) -> bytes | None:
+    def made(self, chunk: str) -> bytes | None:
         if not chunk:
-            out = None if self.lead else b""
-        elif chunk[0].isspace() or chunk[-1].isspace():
-            out = None
-        else:
-            out = b"".join(map(self.pieces.__getitem__, self.cut(self.lead + chunk)))
-        if len(chunk) <= LONG:
-            self[chunk] = out
-        return out
+            return None if self.lead else b""
+        if chunk[0].isspace() or chunk[-1].isspace():
+            return None
+        return b"".join(map(self.pieces.__getitem__, self.cut(self.lead + chunk)))
 
 
 class BpeEncoder:
@@ -91,9 +104,8 @@ class BpeEncoder:
         return b"".join(map(self.pieces.__getitem__, self.cut(text)))
 
     def encode(self, text: str) -> bytes:
-        if len(self.later) + len(self.first) + len(self.pieces) > MEMO:
-            for memo in (self.pieces, self.first, self.later):
-                memo.clear()
+        for memo in (self.pieces, self.first, self.later):
+            memo.age()
         out, lines = [], text.split("\n")
         if len(lines) > 1 and "" in lines:
             return self._whole(text)
