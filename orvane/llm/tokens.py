@@ -17,7 +17,7 @@ from array import array
 import numpy as np
 
 #: Entries of a memo after which it ages: it is the old one then, and what is used from there comes into the new one.
-MEMO = 120_000
+MEMO = 250_000
 #: Longer pieces are encoded each time.
 LONG = 64
 _LOCK = threading.Lock()
@@ -79,6 +79,10 @@ class _Chunks(_Memo):
             return None if self.lead else b""
         if chunk[0].isspace() or chunk[-1].isspace():
             return None
+        if chunk.isalpha():  # letters alone are one pre-token
+            return self.pieces.made(self.lead + chunk)
+        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            return self[chunk[:-1]] + self.pieces[chunk[-1]]
         return b"".join(map(self.pieces.__getitem__, self.cut(self.lead + chunk)))
 
 
