@@ -67,10 +67,10 @@ def text_bytes(docs: DataFrame) -> tuple[int, int]:
     return int(row["n"]), int(row["b"] or 0)
 
 
-def sorted_by_range(df: DataFrame, per_task: int, rows: int, *keys: str) -> DataFrame:
-    """Range-partition on ``keys`` into parts of about ``per_task`` rows and sort each."""
+def sorted_by_range(df: DataFrame, per_task: int, rows: int, *keys: str, then: tuple[str, ...] = ()) -> DataFrame:
+    """Range-partition on ``keys`` into parts of about ``per_task`` rows and sort each by them and ``then``."""
     tasks = max(1, -(-rows // max(1, per_task)), shuffle_tasks(df.sparkSession) if rows > per_task else 1)
-    return df.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
+    return df.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys, *then)
 
 
 def small_batches(spark: SparkSession) -> None:

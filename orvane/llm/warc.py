@@ -93,24 +93,26 @@ def parse_record(data: bytes) -> dict:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """(page_id, url, key, digest, n_bytes, payload, refers_to): revisits have a null payload.
+    """Rows (page_id, url, key, digest, payload, refers_to, kind) for the writer.
 
-    Equal payloads are found by digest; only digests that occur more than once
-    are joined back, and the join may split a digest that most rows share.
+    Kind 1 is a page; kind 0, of the same key, page_id and digest, tells that
+    it is a revisit.  So payloads are shuffled once, to their place, and only
+    digests are grouped and joined; that join may split a digest which most
+    rows share.
     """
-    rows = pages.select("page_id", "url", url_key(F.col("url")).alias("key"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumns({"digest": F.sha1("payload"), "n_bytes": F.length("payload").cast("long")})
-    groups = pages.select(F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"), "page_id").groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joined = rows.join(groups, "digest", "left")
-    again = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
-    return joined.select("page_id", "url", "key", "digest", "n_bytes", F.when(~again, F.col("payload")).alias("payload"), F.when(again, F.col("first_id")).alias("refers_to"))
+    rows = pages.select("page_id", "url", url_key(F.col("url")).alias("key"), F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
+    narrow = rows.select("page_id", "key", "digest")
+    groups = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null").drop("n")
+    again = narrow.join(groups, "digest").where(~F.col("refers_to").eqNullSafe(F.col("page_id"))).distinct()
+    told = again.select("page_id", F.lit(None).cast("string").alias("url"), "key", "digest", F.lit(None).cast("binary").alias("payload"), "refers_to", F.lit(0).alias("kind"))
+    return told.unionByName(rows.select("*", F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind")))
 
 
 def write_archives(pages: DataFrame, folder: str, per_part: int = 4096) -> DataFrame:
     """Write archives and index blocks of (page_id, url, html) to ``folder``; gives the block directory, already computed."""
     spark = pages.sparkSession
     small_batches(spark)
-    parts = sorted_by_range(captures(pages), per_part, pages.count(), "key", "page_id")
+    parts = sorted_by_range(captures(pages), per_part, pages.count(), "key", "page_id", then=("digest", "kind"))
 
     def write(batches):
         from pyspark import TaskContext
@@ -120,7 +122,7 @@ def write_archives(pages: DataFrame, folder: str, per_part: int = 4096) -> DataF
         fs.create_dir(root, recursive=True)
         names = [f"{root}/part-{part:06d}.warc.gz", f"{root}/part-{part:06d}.cdx.gz"]
         drafts = [f"{root}/_draft-{uuid.uuid4().hex}" for _ in names]
-        rows, lines, at, index_at, outs = [], [], 0, 0, None
+        rows, lines, at, index_at, outs, revisit = [], [], 0, 0, None, None
 
         def flush():
             nonlocal lines, index_at
@@ -131,8 +133,12 @@ def write_archives(pages: DataFrame, folder: str, per_part: int = 4096) -> DataF
 
         for batch in batches:
             for r in batch.to_pylist():
+                if r["kind"] == 0:
+                    revisit = r
+                    continue
                 outs = outs or [fs.open_output_stream(d) for d in drafts]
-                record = record_bytes(r["page_id"], r["url"], r["payload"], r["n_bytes"], base64.b32encode(bytes.fromhex(r["digest"])).decode(), r["refers_to"])
+                same = revisit and all(revisit[x] == r[x] for x in ("key", "page_id", "digest"))
+                record = record_bytes(r["page_id"], r["url"], None if same else r["payload"], len(r["payload"]), base64.b32encode(bytes.fromhex(r["digest"])).decode(), revisit["refers_to"] if same else None)
                 outs[0].write(record)
                 lines.append((r["key"], at, len(record)))
                 at += len(record)
