@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, packing, quality, sharding, token_files, url_filter, warc
+from . import chat, decontaminate, jaccard, packing, quality, sharding, suffix_dedup, token_files, url_filter, warc
 
 
 def queries():
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_warc": warc.op4_warc,
         "op5_chat_format": chat.op5_chat_format,
