@@ -389,16 +389,3 @@ def op2_suffix_dedup(spark, sf_dir) -> DataFrame:
         return pa.Table.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
 
     return removed_bytes(docs, text_bytes(docs.withColumnRenamed("_text", "text"))[1], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", digest)
-
-
-SQL = r"""
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM d, range(0, len(d.h) // 2 - 49) r(i)),
-f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
-g AS (SELECT DISTINCT w.doc_id, p FROM w JOIN f USING (s), range(i, i + 50) q(p) WHERE least < w.doc_id),
-k AS (SELECT d.doc_id, p, substr(h, 2 * p + 1, 2) AS b, g.p IS NOT NULL AS gone, lag(g.p IS NOT NULL, 1, false) OVER (PARTITION BY d.doc_id ORDER BY r.p) AS gone_before
-  FROM (SELECT doc_id, h, p FROM d, range(0, len(d.h) // 2) x(p)) r JOIN d USING (doc_id, h) LEFT JOIN g USING (doc_id, p)),
-t AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT gone_before) AS n_spans, sha256(unhex(coalesce(string_agg(b, '' ORDER BY p) FILTER (NOT gone), ''))) AS s FROM k GROUP BY doc_id)
-SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, coalesce(s, sha256('')) AS kept_sha256
-FROM d LEFT JOIN t USING (doc_id)
-"""
