@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A-Z and a-z, for lower-casing ASCII only.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -77,3 +78,21 @@ def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that Python workers get, in rows and in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def as_nullable(kind: T.DataType) -> T.DataType:
+    """A type with every part nullable, as Arrow gives it back."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, as_nullable(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(as_nullable(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return T.MapType(as_nullable(kind.keyType), as_nullable(kind.valueType))
+    return kind
+
+
+def packed_row(df: DataFrame, *columns: str, **more: Column) -> Column:
+    """A struct of columns under the names c0, c1, ... and of further ones, all nullable: it goes through Arrow whatever the names."""
+    row = F.struct(*(df[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(columns)), *(c.alias(k) for k, c in more.items()))
+    kind = T.StructType([T.StructField(f"c{k}", df.schema[c].dataType) for k, c in enumerate(columns)] + [T.StructField(k, df.select(c).schema[0].dataType) for k, c in more.items()])
+    return row.cast(as_nullable(kind))

@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches, table
+from .common import as_nullable, packed_row, small_batches, table
 from .scan import U, chunks, grams, split_table, words
 
 WINDOW = 13
@@ -190,7 +191,7 @@ def item_blocks(items: DataFrame) -> list[list[tuple[str, str]]]:
 def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Add ``_spans``, ``_items`` and ``_n_words`` to rows with a column ``_text``."""
     small_batches(docs.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    schema = T.StructType([*as_nullable(docs.schema).fields, *T._parse_datatype_string(FOUND).fields])
     span = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("from", pa.int64()), ("to", pa.int64())])
 
     def passing(block: list[tuple[str, str]]):
@@ -216,7 +217,7 @@ def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
         return run
 
     for block in item_blocks(items):
-        docs = docs.mapInArrow(passing(block), f"{schema}, {FOUND}")
+        docs = docs.mapInArrow(passing(block), schema)
     return docs
 
 
@@ -230,14 +231,14 @@ def contaminated():
 
 def cleaned(docs: DataFrame, items: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """Drop contaminated documents; from the others cut the hit spans.  ``length`` names a column that holds the text's length."""
-    rows = matched(docs.select(F.struct("*").alias("_row"), docs[text].alias("_text")), items).where(~contaminated())
+    rows = matched(docs.select(packed_row(docs, *docs.columns).alias("_row"), docs[text].alias("_text")), items).where(~contaminated())
     data = F.encode("_text", "utf-8")
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("_spans", lambda s: s["to"]))
     stops = F.concat(F.transform("_spans", lambda s: s["from"]), F.array(F.octet_length("_text").cast("long")))
     kept = F.array_join(F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda x: F.decode(F.substring(data, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")), "utf-8")), "")
     new = F.when(F.size("_spans") > 0, kept).otherwise(F.col("_text"))
     rows = rows.select("_row", new.alias("_new"))
-    columns = [F.col("_new").alias(text) if c == text else F.length("_new").cast(docs.schema[c].dataType).alias(c) if c == length else F.col("_row")[c].alias(c) for c in docs.columns]
+    columns = [F.col("_new").alias(text) if c == text else F.length("_new").cast(docs.schema[c].dataType).alias(c) if c == length else F.col("_row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)]
     return rows.select(*columns)
 
 

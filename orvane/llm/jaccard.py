@@ -36,7 +36,7 @@ from .shared import buckets_for, classes_for, in_blocks, ordered, shared_classes
 
 WORDS = 5
 TILE = 1200
-SETS = "node long, doc_id long, n_shingles long, set_id long, group_id long, prefix array<long>, shingles binary"
+SETS = "node long, doc_id long, mix long, n_shingles long, set_id long, group_id long, prefix array<long>, shingles binary"
 
 
 def shingle_sets(column: pa.Array, n: int = WORDS) -> list[np.ndarray]:
@@ -68,7 +68,7 @@ def _set_id(s: np.ndarray) -> int:
 
 def candidate_sets(docs: DataFrame, size: int) -> DataFrame:
     """All rows of (doc_id, _text) with the size of their set; those that may have partners also with set, group and prefix."""
-    blocks = in_blocks(docs, size)
+    blocks = in_blocks(docs.withColumn("_mix", F.xxhash64("doc_id", "_text")), size)
     buckets = buckets_for(size // 6)
 
     def hashes_of(block: pa.Table) -> np.ndarray:
@@ -81,17 +81,17 @@ def candidate_sets(docs: DataFrame, size: int) -> DataFrame:
             sets = shingle_sets(block["_text"].combine_chunks())
             classes = classes_for(np.concatenate([np.zeros(0, np.uint64), *sets]), answers, buckets)
             at = 0
-            for k, (key, s) in enumerate(zip(block["doc_id"].to_pylist(), sets, strict=True)):
+            for k, (key, mix, s) in enumerate(zip(block["doc_id"].to_pylist(), block["_mix"].to_pylist(), sets, strict=True)):
                 own = classes[at : at + len(s)]
                 at += len(s)
-                row = {"node": number << 32 | k, "doc_id": key, "n_shingles": len(s)}
+                row = {"node": number << 32 | k, "doc_id": key, "mix": mix, "n_shingles": len(s)}
                 p = prefix_length(len(s))
                 if len(s) and np.count_nonzero(own == 0) < p:
                     prefix = np.lexsort((s, own))[:p]
                     prefix = s[prefix[own[prefix] > 0]]
                     row |= {"set_id": _set_id(s), "group_id": _set_id(np.r_[prefix, U(len(s))]), "prefix": (prefix >> U(1)).astype(np.int64), "shingles": s.astype("<u8").tobytes()}
                 rows.append(row)
-        return pa.Table.from_pylist(rows, schema=pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("group_id", pa.int64()), ("prefix", pa.list_(pa.int64())), ("shingles", pa.binary())]))
+        return pa.Table.from_pylist(rows, schema=pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("mix", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("group_id", pa.int64()), ("prefix", pa.list_(pa.int64())), ("shingles", pa.binary())]))
 
     answers = shared_classes(blocks, hashes_of, buckets)
     return written(blocks.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(choose, SETS), "sets")
@@ -127,10 +127,9 @@ class _Tile:
         self.terms, self.at = whole[first], np.r_[first, len(whole)]
 
     def links(self, s: np.ndarray) -> np.ndarray:
-        k = np.searchsorted(self.terms, s)
-        k = k[k < len(self.terms)] if len(s) == 0 else np.where(k < len(self.terms), k, 0)
         if not len(self.terms):
             return np.zeros(0, np.int64)
+        k = np.minimum(np.searchsorted(self.terms, s), len(self.terms) - 1)
         k = k[self.terms[k] == s]
         a, n = self.at[k], self.at[k + 1] - self.at[k]
         rows = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(k) else np.zeros(0, np.int64)
@@ -226,7 +225,11 @@ def verified_links(sets: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def joined(docs: DataFrame, size: int) -> DataFrame:
-    """(node, doc_id, n_shingles, component_id) of rows (doc_id, _text)."""
+    """(node, doc_id, mix, n_shingles, component_id, stays) of rows (doc_id, _text).
+
+    One row of each component stays: that of the smallest doc_id.  ``mix`` is
+    a hash of doc_id and text.
+    """
     small_batches(docs.sparkSession)
     sets = candidate_sets(docs, size)
     links = connected(group_links(sets))
@@ -237,8 +240,24 @@ def joined(docs: DataFrame, size: int) -> DataFrame:
     labelled = written(own.join(parts, own["set_id"] == parts["node"], "left").select("set_id", "least", "first", F.coalesce("label", "set_id").alias("label")), "labelled")
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.min_by("first", F.struct("least", "first")).alias("keeper"))
     known = labelled.join(least, "label").select("set_id", "component_id", "keeper")
-    rows = sets.select("node", "doc_id", "n_shingles", "set_id").join(known, "set_id", "left")
-    return rows.select("node", "doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    rows = sets.select("node", "doc_id", "mix", "n_shingles", "set_id").join(known, "set_id", "left")
+    alone = F.col("set_id").isNull()
+    return rows.select("node", "doc_id", "mix", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("node") == F.col("keeper"))).alias("stays"))
+
+
+def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row of each component of ``docs``; of rows equal in doc_id and text, any one."""
+    keyed = docs.select(F.struct("*").alias("_row"), docs["doc_id"].alias("_id"), F.coalesce(docs[text], F.lit("")).alias("_text"))
+    size = text_bytes(keyed.select(F.col("_text").alias("text")))[1]
+    found = joined(keyed.select(F.col("_id").alias("doc_id"), "_text"), size)
+    kinds = written(found.groupBy("mix").agg(F.max(F.col("stays").cast("int")).alias("some"), F.min(F.col("stays").cast("int")).alias("every"), F.count(F.lit(1)).alias("n")), "stays")
+    keyed = keyed.withColumn("_mix", F.xxhash64("_id", "_text"))
+    gone = kinds.where("some = 0").select(F.col("mix").alias("_mix"))
+    once = kinds.where("some = 1 and n > 1 and every = 0").select(F.col("mix").alias("_mix"))
+    left = keyed.join(gone, "_mix", "left_anti")
+    if not once.isEmpty():
+        left = left.join(once, "_mix", "left_anti").select("_row").union(left.join(once, "_mix", "left_semi").dropDuplicates(["_mix"]).select("_row"))
+    return left.select("_row.*")
 
 
 def op3_jaccard_join(spark, sf_dir) -> DataFrame:

@@ -37,8 +37,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches, table, text_bytes
+from .common import packed_row, small_batches, table, text_bytes
 from .scan import U, chunks, mixed
 from .shared import buckets_for, classes_for, in_blocks, ordered, shared_classes
 
@@ -282,7 +283,7 @@ def _grouped(block: _Block, classes: np.ndarray, buckets: int):
     return texts, np.array(counts, np.int64), np.array(least, np.int64), np.array(where, np.int64), uses
 
 
-def removed_bytes(docs: DataFrame, size: int, outputs: str, output) -> DataFrame:
+def removed_bytes(docs: DataFrame, size: int, outputs: str | T.StructType, output) -> DataFrame:
     """Apply ``output(block table in order, [removed mask of each row])`` to every block of (doc_id, _text, ...)."""
     small_batches(docs.sparkSession)
     blocks = in_blocks(docs, size)
@@ -389,3 +390,28 @@ def op2_suffix_dedup(spark, sf_dir) -> DataFrame:
         return pa.Table.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
 
     return removed_bytes(docs, text_bytes(docs.withColumnRenamed("_text", "text"))[1], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", digest)
+
+
+def deduplicated(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
+    """``docs`` without the repeated strings; a document of which nothing is left goes.
+
+    Cut characters, of which some bytes are removed, go whole.  ``length``
+    names a column that holds the text's length.
+    """
+    rest = [c for c in docs.columns if c != text]
+    rows = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("_text"), packed_row(docs, *rest, none=docs[text].isNull()).alias("_rest"))
+    kind = T.StructType([T.StructField("_new", T.StringType()), T.StructField("_left", T.BooleanType()), rows.schema["_rest"]])
+
+    def cut(block: pa.Table, masks: list[np.ndarray]) -> pa.Table:
+        new, left = [], []
+        for old, gone in zip(block["_text"].to_pylist(), masks, strict=True):
+            kept, n, _ = _pieces(old.encode(), gone)
+            new.append(kept.decode(errors="ignore") if n else old)
+            left.append(not n or bool(new[-1]))
+        return pa.table({"_new": pa.array(new, pa.string()), "_left": pa.array(left), "_rest": block["_rest"]})
+
+    size = text_bytes(rows.select(F.col("_text").alias("text")))[1]
+    done = removed_bytes(rows, size, kind, cut).where("_left")
+    new = F.when(~F.col("_rest.none"), F.col("_new"))
+    columns = {text: new} | {c: F.length(new).cast(docs.schema[c].dataType) if c == length else F.col(f"_rest.c{k}") for k, c in enumerate(rest)}
+    return done.select(*(columns[c].alias(c) for c in docs.columns))
