@@ -40,7 +40,7 @@ def buckets_for(hashes: int) -> int:
 
 def _dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """An order of the hashes by bucket, and where each bucket begins."""
-    bucket = ((hashes >> U(32)) % U(buckets)).astype(np.int32)
+    bucket = ((hashes >> U(32)) % U(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
@@ -59,7 +59,7 @@ def shared_classes(blocks: DataFrame, hashes_of: Callable[[pa.Table], np.ndarray
     def count(bucket: pa.Table) -> pa.Table:
         number, parts = bucket["bucket"][0].as_py(), bucket["hashes"].to_pylist()
         v = np.frombuffer(b"".join(parts), "<u4")
-        order = np.argsort(v, kind="stable")
+        order = np.argsort(v)
         first = np.flatnonzero(np.r_[True, np.diff(v[order]) != 0])
         n = np.diff(np.r_[first, len(v)])
         kind = np.where(n > 1, np.ceil(np.log2(n + 1)), 0).astype(np.uint8)

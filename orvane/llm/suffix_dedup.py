@@ -8,13 +8,13 @@ one anchor make a context, their joint bytes, and equal contexts of a block of
 documents are one, with the smallest doc_id.
 
 Shards.  A bucket of anchors gathers the contexts of all blocks.  They are cut
-to shards of bounded bytes; each shard has a suffix array made by
+to shards of bounded bytes, between anchors if they can; each shard has a suffix array made by
 Larsson-Sadakane refinement (groups of equal rank are split by the rank ``h``
 further on, ``h`` doubling) and common prefixes by Kasai's rule (only the
 irreducible ones are compared; the others follow from their left neighbour).
-Runs with common prefixes of 50 or more are the classes of equal windows.  The
-classes of a bucket's shards are merged by binary search in their sorted
-windows, which gives each window's smallest doc_id, its owner.
+Runs with common prefixes of 50 or more are the classes of equal windows, with
+their smallest doc_id, the owner.  Where an anchor's contexts fill several
+shards, these are merged by binary search in their sorted windows.
 
 Anchors that are very frequent would fill one bucket.  Their contexts are cut
 into single windows, which are dealt by their own hash: each block sends one of
@@ -46,8 +46,12 @@ from .shared import buckets_for, classes_for, in_blocks, ordered, shared_classes
 LENGTH = 50
 GRAM = 24
 SPAN = LENGTH - GRAM + 1
+#: Bytes of text that are scanned at once, so that the arrays stay in a core's cache.
+PART_BYTES = 96 << 10
 #: Bytes of contexts in a shard.
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 192 << 10
+#: Bytes of text for each bucket of contexts.
+BUCKET_TEXT = 8 << 20
 #: Class (bits of the count) from which an anchor's contexts are cut to windows.
 FREQUENT = 13
 NONE = np.int64(np.iinfo(np.int64).min)
@@ -76,63 +80,83 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if len(data) < LENGTH:
         return empty
     h = _gram_hashes(data)
-    places = np.arange(len(h), dtype=np.uint64)
     low = U(max(1, int(len(h)).bit_length()))
-    key = (h >> low << low) | places  # least hash, then first place
+    key = h >> low
+    key <<= low
+    key |= np.arange(len(h), dtype=np.uint64)  # least hash, then first place
     for step in (1, 2, 4, 8):
         key = np.minimum(key[:-step], key[step:])
     key = np.minimum(key[: len(key) - (SPAN - 16)], key[SPAN - 16 :])
-    at = (key & ((U(1) << low) - U(1))).astype(np.int64)
-    inside = np.zeros(len(at) + 1, np.int8)
-    stops = np.maximum(bounds[1:] - LENGTH + 1, bounds[:-1])
-    np.add.at(inside, np.minimum(bounds[:-1], len(at)), 1)
-    np.add.at(inside, np.minimum(stops, len(at)), -1)
-    ok = np.cumsum(inside[:-1]) > 0
-    windows = np.flatnonzero(ok)
-    if not len(windows):
+    # a window begins an anchor where its least differs from the one before, or where a text begins
+    starts, stops = bounds[:-1], bounds[1:] - LENGTH + 1
+    whole = starts < stops
+    starts, stops = starts[whole], stops[whole]
+    if not len(starts):
         return empty
-    at = at[windows]
-    new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (windows[1:] != windows[:-1] + 1)])
-    last = np.r_[windows[new[1:] - 1], windows[-1]]
-    return h[at[new]], windows[new], last
+    new = np.zeros(len(key) + 1, bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:-1])
+    new[starts] = True
+    new[stops] = True
+    first = np.flatnonzero(new)
+    text = np.searchsorted(starts, first, "right") - 1
+    ok = (text >= 0) & (first < stops[np.maximum(text, 0)])
+    last = np.r_[first[1:], len(key)] - 1
+    first, last = first[ok], last[ok]
+    at = (key[first] & ((U(1) << low) - U(1))).astype(np.int64)
+    return h[at], first, last
 
 
 # -- suffix array and common prefixes -----------------------------------------
 
 
+#: Up to so many symbols a rank and a place fit in one number together with another rank.
+SMALL = 1 << 21
+
+
+def _by(key: np.ndarray, places: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places and keys in the order of the keys; where they fit in one number, both are sorted as one."""
+    if small:
+        both = np.sort(key << 21 | places)
+        return both & (SMALL - 1), both >> 21
+    order = np.argsort(key)
+    return places[order], key[order]
+
+
 def suffix_array(symbols: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes of ``symbols`` (values 0..256) by their first ``reach`` or more symbols, and packed leading symbols.
 
-    The first order is by 7 packed symbols.  Then, in rounds, the members of
-    each group of equal rank are sorted by the rank ``h`` symbols further on,
-    where ``h`` doubles; groups of one are done.
+    The first order is by 4 symbols.  Then, in rounds, the members of each
+    group of equal rank are sorted by the rank ``h`` symbols further on, where
+    ``h`` doubles; groups of one are done.
     """
-    n = len(symbols)
+    n, small = len(symbols), len(symbols) < SMALL
     wide = np.zeros(n + 7, np.int64)
     wide[:n] = symbols + 1  # 0 is the end
     packed = np.zeros(n, np.int64)
     for k in range(7):
         packed = packed << 9 | wide[k : k + n]
-    order = np.argsort(packed, kind="stable")
-    rank = np.zeros(n + 1, np.int64)
-    rank[n] = -1
-    first = np.flatnonzero(np.r_[True, packed[order[1:]] != packed[order[:-1]]]) if n else np.zeros(0, np.int64)
+    order, key = _by(packed >> 27, np.arange(n), small)
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if n else np.zeros(0, np.int64)
     size = np.diff(np.r_[first, n])
-    rank[order] = np.repeat(first, size)
-    h = 7
-    open_ = np.repeat(size > 1, size)
-    while h < reach and open_.any():
-        slots = np.flatnonzero(open_)
+    rank = np.zeros(n + 1, np.int64)
+    rank[order] = np.repeat(first + 1, size)  # the end has rank 0
+    h = 4
+    slots = np.flatnonzero(np.repeat(size > 1, size))
+    while h < reach and len(slots):
         members = order[slots]
+        # groups lie side by side, so their numbers among the open ones are sorted
         group = rank[members]
-        key = group * (n + 2) + rank[np.minimum(members + h, n)] + 1
-        by = np.argsort(key, kind="stable")
-        members, key = members[by], key[by]
+        group = np.cumsum(np.r_[0, group[1:] != group[:-1]])
+        far = rank[np.minimum(members + h, n)]
+        if small:
+            members, key = _by(group << 21 | far, members, True)
+        else:
+            members, key = _by(group * (n + 2) + far, members, False)
         order[slots] = members
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[starts, len(slots)])
-        rank[members] = np.repeat(slots[starts], size)
-        open_[slots] = np.repeat(size > 1, size)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[first, len(slots)])
+        rank[members] = np.repeat(slots[first] + 1, size)
+        slots = slots[np.repeat(size > 1, size)]
         h *= 2
     return order, packed
 
@@ -198,29 +222,39 @@ class _Shard:
         self.owner = np.minimum.reduceat(owner_of[in_order], first)
         self.cls = np.empty(len(flat), np.int64)
         self.cls[in_order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(in_order)]))
-        at = flat[in_order[first]]
-        self.keys = np.frombuffer(whole, np.uint8)[at[:, None] + np.arange(LENGTH)].copy().view(f"V{LENGTH}").ravel()
+        self.whole, self.at = whole, flat[in_order[first]]
 
+    def keys(self) -> np.ndarray:
+        """The classes' windows in order, as fixed bytes (a last byte keeps nulls at the end)."""
+        raw = np.frombuffer(self.whole, np.uint8)[self.at[:, None] + np.arange(LENGTH)]
+        return np.ascontiguousarray(np.concatenate([raw, np.ones((len(raw), 1), np.uint8)], axis=1)).view(f"S{LENGTH + 1}").ravel()
 
-def _sortable(keys: np.ndarray) -> np.ndarray:
-    """Windows as fixed bytes that compare as their bytes do (a null byte at the end counts)."""
-    raw = keys.view(np.uint8).reshape(len(keys), LENGTH)
-    return np.ascontiguousarray(np.concatenate([raw, np.ones((len(keys), 1), np.uint8)], axis=1)).view(f"S{LENGTH + 1}").ravel()
 
+def owners_of(texts: list[bytes], counts: np.ndarray, owners: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """The smallest owner of every window of the contexts ``texts`` (``counts`` windows each, in order of ``tags``).
 
-def owners_of(texts: list[bytes], counts: np.ndarray, owners: np.ndarray) -> np.ndarray:
-    """The smallest owner of every window of the contexts ``texts`` (``counts`` windows each, in order)."""
-    ends = np.cumsum([len(t) for t in texts])
-    shards, a = [], 0
+    Equal windows have equal tags.  Shards are cut between tags; the shards of
+    a tag that is too large for one are merged by binary search.
+    """
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    edges = np.r_[np.flatnonzero(tags[1:] != tags[:-1]) + 1, len(texts)]
+    shards, chains, a, inside = [], [], 0, False
     while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SHARD_BYTES, "right")))
+        most = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SHARD_BYTES, "right")))
+        edge = edges[np.searchsorted(edges, most, "right") - 1] if edges[0] <= most else a
+        b = int(edge) if edge > a else most
         shards.append(_Shard(texts[a:b], counts[a:b], owners[a:b]))
+        if inside:
+            chains[-1].append(shards[-1])
+        else:
+            chains.append([shards[-1]])
+        inside = b < len(texts) and tags[b] == tags[b - 1]
         a = b
-    if len(shards) > 1:
-        keys = [_sortable(s.keys) for s in shards]
-        for i, s in enumerate(shards):  # each shard's classes are looked up in every other's
-            for j in range(i + 1, len(shards)):
-                t = shards[j]
+    for chain in chains:
+        keys = [s.keys() for s in chain] if len(chain) > 1 else []
+        for i, s in enumerate(chain):  # each shard's classes are looked up in every other's of its chain
+            for j in range(i + 1, len(chain)):
+                t = chain[j]
                 at = np.minimum(np.searchsorted(keys[j], keys[i]), len(keys[j]) - 1)
                 hit = np.flatnonzero(keys[j][at] == keys[i])
                 least = np.minimum(s.owner[hit], t.owner[at[hit]])
@@ -239,7 +273,7 @@ class _Block:
         self.ids, column = block["doc_id"].to_pylist(), block["_text"].combine_chunks()
         self.rank = np.array([NONE if i is None else i for i in self.ids], np.int64)
         self.parts = []
-        for c in chunks(column):
+        for c in chunks(column, PART_BYTES):
             self.parts.append((c, *anchors(c.data, c.bounds)))
         self.hashes = np.concatenate([np.zeros(0, np.uint64), *(p[1] for p in self.parts)])
 
@@ -263,55 +297,59 @@ class _Block:
 
 
 def _grouped(block: _Block, classes: np.ndarray, buckets: int):
-    """Distinct contexts by bucket: bucket -> [(bytes, windows, smallest rank)], and where each occurrence finds its own."""
+    """Distinct contexts (bytes, windows, smallest rank, anchor, bucket), and where each occurrence finds its own.
+
+    Equal bytes have equal windows and so equal anchors.
+    """
     found: dict[bytes, int] = {}
-    texts, counts, least, where = [], [], [], []
+    texts, counts, least, tags = [], [], [], []
     uses: list[tuple[int, int, int, int, int]] = []
+    rank = block.rank.tolist()
     for h, data, n, d, part, at in block.contexts(classes):
-        key = data if h is None else data + h.to_bytes(8, "little")
-        k = found.get(key)
+        k = found.get(data)
         if k is None:
-            k = found[key] = len(texts)
+            k = found[data] = len(texts)
             texts.append(data)
             counts.append(n)
-            least.append(int(block.rank[d]))
-            mark = int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little") if h is None else h
-            where.append((mark >> 13) % buckets)
-        elif block.rank[d] < least[k]:
-            least[k] = int(block.rank[d])
+            least.append(rank[d])
+            tags.append(int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little") if h is None else h)
+        elif rank[d] < least[k]:
+            least[k] = rank[d]
         uses.append((k, d, part, at, n))
-    return texts, np.array(counts, np.int64), np.array(least, np.int64), np.array(where, np.int64), uses
+    tags = np.array(tags, np.uint64)
+    return texts, np.array(counts, np.int64), np.array(least, np.int64), tags, ((tags >> U(13)) % U(buckets)).astype(np.int64), uses
 
 
 def removed_bytes(docs: DataFrame, size: int, outputs: str | T.StructType, output) -> DataFrame:
     """Apply ``output(block table in order, [removed mask of each row])`` to every block of (doc_id, _text, ...)."""
     small_batches(docs.sparkSession)
     blocks = in_blocks(docs, size)
-    buckets, shards = buckets_for(size // 14), max(1, size // (24 << 20))
+    buckets, shards = buckets_for(size // 14), max(1, size // BUCKET_TEXT)
 
     def hashes_of(block: pa.Table) -> np.ndarray:
         return _Block(block.select(["doc_id", "_text"])).hashes
 
     def send(block: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(block):
-            return pa.table({k: pa.array([], v) for k, v in (("shard", pa.int32()), ("block", pa.int32()), ("texts", pa.binary()), ("lengths", pa.binary()), ("counts", pa.binary()), ("least", pa.binary()))})
+            return pa.table({k: pa.array([], v) for k, v in (("shard", pa.int32()), ("block", pa.int32()), ("texts", pa.binary()), ("lengths", pa.binary()), ("counts", pa.binary()), ("least", pa.binary()), ("tags", pa.binary()))})
         number, held = block["_block"][0].as_py(), _Block(block)
-        texts, counts, least, where, _ = _grouped(held, classes_for(held.hashes, answers, buckets), shards)
+        texts, counts, least, tags, where, _ = _grouped(held, classes_for(held.hashes, answers, buckets), shards)
         rows = []
         for s in np.unique(where).tolist():
             k = np.flatnonzero(where == s)
             own = [texts[i] for i in k.tolist()]
-            rows.append({"shard": s, "block": number, "texts": b"".join(own), "lengths": np.array([len(t) for t in own], "<u2").tobytes(), "counts": counts[k].astype("u1").tobytes(), "least": least[k].astype("<i8").tobytes()})
-        return pa.Table.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("block", pa.int32()), *((x, pa.binary()) for x in ("texts", "lengths", "counts", "least"))]))
+            rows.append({"shard": s, "block": number, "texts": b"".join(own), "lengths": np.array([len(t) for t in own], "<u2").tobytes(), "counts": counts[k].astype("u1").tobytes(), "least": least[k].astype("<i8").tobytes(), "tags": (tags[k] >> U(32)).astype("<u4").tobytes()})
+        return pa.Table.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("block", pa.int32()), *((x, pa.binary()) for x in ("texts", "lengths", "counts", "least", "tags"))]))
 
     def own(shard: pa.Table) -> pa.Table:
         shard = shard.sort_by("block")
-        texts, counts, least, cuts = [], [], [], [0]
-        for t, n, c, o in zip(*(shard[x].to_pylist() for x in ("texts", "lengths", "counts", "least")), strict=True):
+        texts, counts, least, tags, cuts = [], [], [], [], [0]
+        for t, n, c, o, g in zip(*(shard[x].to_pylist() for x in ("texts", "lengths", "counts", "least", "tags")), strict=True):
             ends = np.cumsum(np.frombuffer(n, "<u2")).tolist()
             texts += [t[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             counts.append(np.frombuffer(c, "u1").astype(np.int64))
             least.append(np.frombuffer(o, "<i8"))
+            tags.append(np.frombuffer(g, "<u4"))
             cuts.append(len(texts))
         counts, least = np.concatenate(counts), np.concatenate(least)
         # equal contexts of several blocks are one
@@ -321,8 +359,17 @@ def removed_bytes(docs: DataFrame, size: int, outputs: str | T.StructType, outpu
         np.minimum.at(owner, to, least)
         some = np.zeros(len(index), np.int64)
         some[to] = counts
-        # contexts of equal anchors side by side, so that shards cut between them seldom
-        answer = owners_of(list(index), some, owner)
+        # an anchor with one context needs no search: that is the owner of its windows
+        tag = np.zeros(len(index), np.int64)
+        tag[to] = np.concatenate(tags)
+        _, kind, sizes = np.unique(tag, return_inverse=True, return_counts=True)
+        answer = np.repeat(owner, some)
+        several = np.flatnonzero(sizes[kind] > 1)
+        if len(several):
+            several = several[np.argsort(tag[several], kind="stable")]  # contexts of one anchor side by side
+            keys = list(index)
+            flat = np.repeat(np.r_[0, np.cumsum(some)][several] - np.r_[0, np.cumsum(some[several])[:-1]], some[several]) + np.arange(some[several].sum())
+            answer[flat] = owners_of([keys[k] for k in several.tolist()], some[several], owner[several], tag[several])
         at = np.r_[0, np.cumsum(some)]
         back = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -336,7 +383,7 @@ def removed_bytes(docs: DataFrame, size: int, outputs: str | T.StructType, outpu
         held = _Block(block)
         found = {k: (r, o) for k, r, o in zip(*(answers[x].to_pylist() for x in ("bucket", "runs", "owners")), strict=True)}
         classes = classes_for(held.hashes, answers.filter(answers["classes"].is_valid()), buckets)
-        texts, counts, _, where, uses = _grouped(held, classes, shards)
+        texts, counts, _, _, where, uses = _grouped(held, classes, shards)
         at = np.r_[0, np.cumsum(counts)]
         owner = np.zeros(int(at[-1]), np.int64)
         for s in np.unique(where).tolist():
@@ -358,7 +405,7 @@ def removed_bytes(docs: DataFrame, size: int, outputs: str | T.StructType, outpu
         return output(kept, masks)
 
     answers = shared_classes(blocks, hashes_of, buckets)
-    sent = blocks.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(send, "shard int, block int, texts binary, lengths binary, counts binary, least binary")
+    sent = blocks.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(send, "shard int, block int, texts binary, lengths binary, counts binary, least binary, tags binary")
     owned = sent.groupBy("shard").applyInArrow(own, "block int, shard int, runs binary, owners binary")
     nothing = F.lit(None).cast("binary")
     both = answers.select("block", "bucket", "classes", nothing.alias("runs"), nothing.alias("owners")).union(owned.select("block", (F.col("shard") + OWNERS).alias("bucket"), nothing.alias("classes"), "runs", "owners"))
