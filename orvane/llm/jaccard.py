@@ -158,6 +158,12 @@ def united(sets: list[np.ndarray]) -> list[int]:
     return [_find(up, i) for i in range(len(sets))]
 
 
+def _root(up: dict[int, int], x: int) -> int:
+    while x in up:
+        x = up[x]
+    return x
+
+
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -206,7 +212,8 @@ def verified_links(sets: DataFrame, blocks: DataFrame) -> DataFrame:
     first = written(beside.select("set_id", "shingles", "mid", "mid_shingles").mapInArrow(with_middle, "a long, b long"), "first")
     apart = first.where("b is null").select(F.col("a").alias("set_id"))
     tiles = large.select("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / TILE).cast("int") - 1)).alias("tile")).distinct()
-    lone = large.join(apart, "set_id").select("block", "set_id", "shingles").withColumn("part", F.pmod(F.xxhash64("set_id", F.lit(1)), F.lit(64)).cast("int"))
+    lone = large.join(apart, "set_id").select("block", "set_id", "shingles")
+    lone = lone.join(lone.groupBy("block").agg(F.count(F.lit(1)).alias("n")), "block").withColumn("part", F.pmod(F.xxhash64("set_id", F.lit(1)), F.ceil(F.col("n") / TILE)).cast("int")).drop("n")
     parts = lone.select("block", "part").distinct()
     grid_x = large.select("block", "tile", "set_id", "shingles").join(parts, "block").select("block", "tile", "part", "set_id", "shingles", F.lit(False).alias("lone"))
     grid_y = lone.join(tiles, "block").select("block", "tile", "part", "set_id", "shingles", F.lit(True).alias("lone"))
@@ -214,10 +221,14 @@ def verified_links(sets: DataFrame, blocks: DataFrame) -> DataFrame:
     def meet(cell: pa.Table) -> pa.Table:
         ids, sets_, lone_ = cell["set_id"].to_pylist(), _decoded(cell["shingles"]), cell["lone"].to_pylist()
         rest = [k for k, x in enumerate(lone_) if not x]
-        tile, pairs = _Tile([sets_[k] for k in rest]), []
+        tile, up, pairs = _Tile([sets_[k] for k in rest]), {}, []
         for k, x in enumerate(lone_):
             if x:
-                pairs += [(ids[k], ids[rest[j]]) for j in tile.links(sets_[k]).tolist()]
+                for j in tile.links(sets_[k]).tolist():  # of the links, those that join two parts
+                    a, b = _root(up, ids[k]), _root(up, ids[rest[j]])
+                    if a != b:
+                        up[a] = b
+                        pairs.append((ids[k], ids[rest[j]]))
         return _edges(pairs)
 
     second = grid_x.union(grid_y).groupBy("block", "tile", "part").applyInArrow(meet, "a long, b long")
