@@ -114,11 +114,13 @@ class In(Filter):
     def __init__(self, field: str, values: Iterable):
         if isinstance(values, (str, bytes)) or not isinstance(values, Iterable):
             raise TypeError("values must be a collection, not a string")
-        found = {_identity(v): v for v in reversed(list(values))}
+        found: dict = {}
+        for v in values:
+            found.setdefault(_identity(v), v)
         if len(found) > MAX_VALUES:
             raise ValueError(f"more than {MAX_VALUES} values")
         object.__setattr__(self, "field", field)
-        object.__setattr__(self, "values", tuple(reversed(found.values())))
+        object.__setattr__(self, "values", tuple(found.values()))
 
     def column(self, schema):
         if self.field not in schema.names or not self.values:
