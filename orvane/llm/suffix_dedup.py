@@ -391,17 +391,20 @@ def removed_bytes(docs: DataFrame, size: int, outputs: str | T.StructType, outpu
             flat = np.repeat(at[k] - np.r_[0, np.cumsum(counts[k])[:-1]], counts[k]) + np.arange(counts[k].sum())
             runs, values = found[s + OWNERS]
             owner[flat] = np.repeat(np.frombuffer(values, "<i8"), np.frombuffer(runs, "<u4"))
-        marks = [np.zeros(len(p[0].data) + 1, np.int32) for p in held.parts]
-        for k, d, part, first, n in uses:
-            w = np.flatnonzero(owner[at[k] : at[k] + n] < held.rank[d]) + first
-            if len(w):
-                np.add.at(marks[part], w, 1)
-                np.add.at(marks[part], w + LENGTH, -1)
+        # every window of a use at once: its owner, its document's rank, and where it begins in the block
+        base = np.r_[0, np.cumsum([len(p[0].data) for p in held.parts])]
+        k, d, part, first, n = np.array(uses, np.int64).reshape(-1, 5).T
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        gone = owner[np.repeat(at[k], n) + step] < np.repeat(held.rank[d], n)
+        begun = np.zeros(int(base[-1]) + 1, np.int32)
+        begun[(np.repeat(base[part] + first, n) + step)[gone] + 1] = 1
+        begun = np.cumsum(begun)
+        covered = begun[1:].copy()
+        covered[LENGTH:] -= begun[1:-LENGTH]
         masks = []
-        for p, m in zip(held.parts, marks, strict=True):
-            gone = np.cumsum(m[:-1]) > 0
-            b = p[0].bounds
-            masks += [gone[x:y] for x, y in zip(b[:-1], b[1:], strict=True)]
+        for p, start in zip(held.parts, base[:-1].tolist(), strict=True):
+            edges = (p[0].bounds + start).tolist()
+            masks += [covered[x:y] > 0 for x, y in zip(edges[:-1], edges[1:], strict=True)]
         return output(kept, masks)
 
     answers = shared_classes(blocks, hashes_of, buckets)
