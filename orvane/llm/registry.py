@@ -24,5 +24,7 @@ def oracle_sql():
     return {
         "op1_decontaminate": decontaminate.SQL,
         "op3_jaccard_join": jaccard.SQL,
+        "op4_warc": warc.SQL,
         "op5_chat_format": chat.SQL,
+        "op10_url_reputation": url_filter.SQL,
     }

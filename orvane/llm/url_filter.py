@@ -139,3 +139,26 @@ def op10_url_reputation(spark, sf_dir) -> DataFrame:
     """Judge all pages; a page is labelled by the row of ``labels`` with its number: bad if toxic or of low quality."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
     return judge(table(spark, sf_dir, "pages"), labels, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _sql_strength(children: str, parents: str, link: str) -> str:
+    return f"""(SELECT CASE WHEN k <= d OR n <= k OR rho IS NULL OR rho <= 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0, 1 / rho - 1)) END FROM (SELECT k, d, n, CASE WHEN bt + (sz - 1) * wi > 0 THEN (bt - wi) / (bt + (sz - 1) * wi) ELSE 0 END AS rho FROM
+    (SELECT k, d, n, (own - up) / nullif(k - d, 0) AS bt, (x - own) / nullif(n - k, 0) AS wi, (n - sq) / nullif(k - d, 0) AS sz FROM
+    (SELECT count(*) AS k, count(DISTINCT c.{link}) AS d, sum(c.n)::DOUBLE AS n, sum(c.x * c.x / c.n) AS own, sum(c.n * (p.x / p.n) * (p.x / p.n)) AS up, sum(c.x)::DOUBLE AS x, sum(c.n * c.n / p.n) AS sq FROM {children} c JOIN {parents} p ON c.{link} = p.{link} WHERE c.n > 0))))"""
+
+
+SQL = rf"""
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+y AS (SELECT u.host, CASE WHEN l.doc_id IS NULL THEN NULL WHEN l.toxic = 1 OR l.quality = 0 THEN 1 ELSE 0 END AS bad FROM u LEFT JOIN labels l ON l.doc_id = u.page_id),
+h0 AS (SELECT host, count(bad)::BIGINT AS n, coalesce(sum(bad), 0)::BIGINT AS x, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS b FROM y GROUP BY host),
+h1 AS (SELECT *, string_split(b, '.') AS t FROM h0),
+h2 AS (SELECT *, array_to_string(t[greatest(1, len(t) - 1):], '.') AS two, array_to_string(t[greatest(1, len(t) - 2):], '.') AS three, t[-1] AS one FROM h1),
+hs AS (SELECT host, n, x, 0 AS everything, CASE WHEN two IN {TWO_LABEL_SUFFIXES} THEN three ELSE two END AS domain, CASE WHEN two IN {TWO_LABEL_SUFFIXES} THEN two ELSE one END AS suffix FROM h2),
+ds AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(x)::BIGINT AS x FROM hs GROUP BY domain, suffix), ss AS (SELECT suffix, 0 AS everything, sum(n)::BIGINT AS n, sum(x)::BIGINT AS x FROM ds GROUP BY suffix),
+al AS (SELECT 0 AS everything, sum(n)::BIGINT AS n, sum(x)::BIGINT AS x FROM ss),
+w AS (SELECT {_sql_strength("ss", "al", "everything")} AS w0, {_sql_strength("ds", "ss", "suffix")} AS w1, {_sql_strength("hs", "ds", "domain")} AS w2),
+r0 AS (SELECT suffix, (ss.x + w0 * ((al.x + 0.5) / (al.n + 1.0))) / (ss.n + w0) AS r FROM ss, al, w), r1 AS (SELECT domain, (ds.x + w1 * r) / (ds.n + w1) AS r FROM ds JOIN r0 USING (suffix), w),
+r2 AS (SELECT host, n, (hs.x + w2 * r) / (hs.n + w2) AS r FROM hs JOIN r1 USING (domain), w), z AS (SELECT host, r - 1.645 * sqrt(r * (1 - r) / (n + w2 + 1)) AS bound FROM r2, w),
+v AS (SELECT page_id, host, path, bound, CASE {" ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.verdict} {r.name}'" for r in sorted(RULES, key=lambda r: (-len(r.name), r.verdict != "block", r.name)))} END AS hit FROM u JOIN z USING (host))
+SELECT page_id, host, path, split_part(hit, ' ', 2) AS rule, CASE WHEN hit IS NOT NULL THEN split_part(hit, ' ', 1) WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM v
+"""

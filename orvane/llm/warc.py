@@ -205,3 +205,13 @@ def op4_warc(spark, sf_dir) -> DataFrame:
     folder = new_folder(spark, "warc")
     directory = write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
     return read_archives(directory, folder).drop("url")
+
+
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+f AS (SELECT x, min(page_id) AS first_id FROM p GROUP BY x)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p JOIN f USING (x)
+"""
