@@ -137,31 +137,23 @@ class _Tile:
         return np.flatnonzero(_linked(len(s), self.n, both) & (both > 0))
 
 
-def _find(up: list[int], x: int) -> int:
-    while up[x] != x:
-        up[x] = up[up[x]]
-        x = up[x]
-    return x
+def _joined(part: np.ndarray, own: int, linked: np.ndarray) -> list[int]:
+    """Join the parts of ``linked`` to that of ``own``; gives one linked set for each part that was another."""
+    other, first = np.unique(part[linked], return_index=True)
+    new = other != part[own]
+    if new.any():
+        part[np.isin(part, other[new])] = part[own]
+    return linked[first[new]].tolist()
 
 
-def united(sets: list[np.ndarray]) -> list[int]:
+def united(sets: list[np.ndarray]) -> np.ndarray:
     """The component of each set, as the position of one of it; stops when all are one."""
-    tile, up, parts = _Tile(sets), list(range(len(sets))), len(sets)
+    tile, part, parts = _Tile(sets), np.arange(len(sets)), len(sets)
     for i in np.argsort(-tile.n, kind="stable").tolist():
         if parts == 1:
             break
-        for j in tile.links(sets[i]).tolist():
-            a, b = _find(up, i), _find(up, j)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-                parts -= 1
-    return [_find(up, i) for i in range(len(sets))]
-
-
-def _root(up: dict[int, int], x: int) -> int:
-    while x in up:
-        x = up[x]
-    return x
+        parts -= len(_joined(part, i, tile.links(sets[i])))
+    return part
 
 
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -190,7 +182,7 @@ def verified_links(sets: DataFrame, blocks: DataFrame) -> DataFrame:
 
     def solve(block: pa.Table) -> pa.Table:
         ids = block["set_id"].to_pylist()
-        return _edges([(ids[i], ids[r]) for i, r in enumerate(united(_decoded(block["shingles"]))) if i != r])
+        return _edges([(ids[i], ids[r]) for i, r in enumerate(united(_decoded(block["shingles"])).tolist()) if i != r])
 
     small = full.where(F.col("m") <= TILE).select("block", "set_id", "shingles").groupBy("block").applyInArrow(solve, "a long, b long")
     if placed.where(F.col("m") > TILE).isEmpty():
@@ -220,15 +212,11 @@ def verified_links(sets: DataFrame, blocks: DataFrame) -> DataFrame:
 
     def meet(cell: pa.Table) -> pa.Table:
         ids, sets_, lone_ = cell["set_id"].to_pylist(), _decoded(cell["shingles"]), cell["lone"].to_pylist()
-        rest = [k for k, x in enumerate(lone_) if not x]
-        tile, up, pairs = _Tile([sets_[k] for k in rest]), {}, []
+        rest = np.array([k for k, x in enumerate(lone_) if not x], np.int64)
+        tile, part, pairs = _Tile([sets_[k] for k in rest.tolist()]), np.arange(len(ids)), []
         for k, x in enumerate(lone_):
-            if x:
-                for j in tile.links(sets_[k]).tolist():  # of the links, those that join two parts
-                    a, b = _root(up, ids[k]), _root(up, ids[rest[j]])
-                    if a != b:
-                        up[a] = b
-                        pairs.append((ids[k], ids[rest[j]]))
+            if x:  # of a set's links, those that join two parts
+                pairs += [(ids[k], ids[j]) for j in _joined(part, k, rest[tile.links(sets_[k])])]
         return _edges(pairs)
 
     second = grid_x.union(grid_y).groupBy("block", "tile", "part").applyInArrow(meet, "a long, b long")
