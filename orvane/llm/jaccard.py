@@ -188,8 +188,12 @@ def verified_links(sets: DataFrame, blocks: DataFrame) -> DataFrame:
     if placed.where(F.col("m") > TILE).isEmpty():
         return small
     large = written(full.where(F.col("m") > TILE).withColumn("tile", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("m") / TILE)).cast("int")), "large")
-    middle = large.groupBy("block").agg(F.min_by(F.struct("set_id", "shingles"), F.struct(F.abs(F.col("n_shingles") - F.col("mean")), "set_id")).alias("x")).select("block", F.col("x.set_id").alias("mid"), F.col("x.shingles").alias("mid_shingles"))
-    beside = large.select("block", "set_id", "shingles").join(middle, "block")
+    # what a block's tiles share is copied to each of them, so that no join key has more rows than a tile
+    tiles = placed.where(F.col("m") > TILE).select("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / TILE).cast("int") - 1)).alias("tile")).distinct()
+    near = F.struct(F.abs(F.col("n_shingles") - F.col("mean")).alias("d"), "set_id")
+    middle = placed.where(F.col("m") > TILE).groupBy("block").agg(F.min_by(F.struct("set_id", "node"), near).alias("x")).select("block", F.col("x.set_id").alias("mid"), F.col("x.node").alias("node"))
+    middle = middle.join(sets.select("node", F.col("shingles").alias("mid_shingles")), "node").drop("node").join(tiles, "block")
+    beside = large.select("block", "tile", "set_id", "shingles").join(middle, ["block", "tile"])
 
     def with_middle(batches):
         for batch in batches:
@@ -203,12 +207,11 @@ def verified_links(sets: DataFrame, blocks: DataFrame) -> DataFrame:
 
     first = written(beside.select("set_id", "shingles", "mid", "mid_shingles").mapInArrow(with_middle, "a long, b long"), "first")
     apart = first.where("b is null").select(F.col("a").alias("set_id"))
-    tiles = large.select("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / TILE).cast("int") - 1)).alias("tile")).distinct()
     lone = large.join(apart, "set_id").select("block", "set_id", "shingles")
     lone = lone.join(lone.groupBy("block").agg(F.count(F.lit(1)).alias("n")), "block").withColumn("part", F.pmod(F.xxhash64("set_id", F.lit(1)), F.ceil(F.col("n") / TILE)).cast("int")).drop("n")
-    parts = lone.select("block", "part").distinct()
-    grid_x = large.select("block", "tile", "set_id", "shingles").join(parts, "block").select("block", "tile", "part", "set_id", "shingles", F.lit(False).alias("lone"))
-    grid_y = lone.join(tiles, "block").select("block", "tile", "part", "set_id", "shingles", F.lit(True).alias("lone"))
+    cells = lone.select("block", "part").distinct().join(tiles, "block")
+    grid_x = large.select("block", "tile", "set_id", "shingles").join(cells, ["block", "tile"]).select("block", "tile", "part", "set_id", "shingles", F.lit(False).alias("lone"))
+    grid_y = lone.join(cells, ["block", "part"]).select("block", "tile", "part", "set_id", "shingles", F.lit(True).alias("lone"))
 
     def meet(cell: pa.Table) -> pa.Table:
         ids, sets_, lone_ = cell["set_id"].to_pylist(), _decoded(cell["shingles"]), cell["lone"].to_pylist()
