@@ -14,6 +14,7 @@ further columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,7 +93,7 @@ def shuffled_shards(df: DataFrame, shards: int, seed: int, *keys: str) -> DataFr
 
     @F.pandas_udf("long")
     def place(number):
-        return __import__("pandas").Series(permute(number.to_numpy(), n, seed))
+        return pd.Series(permute(number.to_numpy(), n, seed))
 
     placed = rows.withColumn("_place", place("row_number"))
     return placed.withColumns({"shard": F.pmod("_place", F.lit(shards)).cast("int"), "slot": F.floor(F.col("_place") / shards).cast("long")}).drop("_place")
