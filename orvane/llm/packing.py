@@ -2,12 +2,20 @@
 
 Documents are tokenized once; full windows of a long document are sequences of
 their own.  What remains of each document (less than a window) goes to an index
-shard: a bounded run of remainders in the order of the locality columns, with an
-inverted index of its ids.  In a shard the next unused remainder is the seed;
-BM25, with document frequencies of ids over all documents, ranks the unused
-remainders against it, and they fill the window greedily.  The last one is cut
-to fit, and what is left of it is the next seed: only a shard's last window is
-padded, and not if its length is a power of two.
+of all remainders, kept as block files in the shared folder.  Many chains of
+windows grow side by side: in each round the seed of every open window is
+scored by BM25, with document frequencies of ids over all documents, against
+all unused remainders of all blocks, and the proposals are granted from the
+highest score down.  A window that is not full asks again in the next round.
+A remainder that does not fit is cut, and what is left of it is the chain's next
+seed.  When no remainder is unused, the emptier half of the open windows is
+dissolved and dealt to the others; the last :data:`SHARD` remainders are packed
+in one chain, so only one window is padded, and not if its length is a power of
+two.
+
+The search is exact, so its work grows with the square of the remainders.  The
+driver holds some tens of bytes for each remainder (its number, length and
+whether it is used), and a round's proposals.
 
 The vocabulary is the tokenizer's, so the table of document frequencies that
 every task gets has a fixed size (one number for each id).
@@ -19,6 +27,8 @@ table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import io
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -27,12 +37,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_tasks, small_batches, table, written
+from .common import file_system, new_folder, shuffle_tasks, small_batches, table, written
 from .tokens import default_tokenizer, encoder
 
 WINDOW = 1024
-#: Remainders in an index shard.
+#: So few remainders are packed in one chain, in one task.
 SHARD = 384
+#: Remainders in a block of the index, seeds of a task, and seeds that it scores at once.
+BLOCK, SEEDS, AT_ONCE = 4096, 1024, 128
+#: Remainders for each chain at the start.
+CHAIN = 8
+#: Proposals of a seed in the first round; more where few are granted.
+PROPOSALS = 8
+#: The most frequent ids, whose share of a score is a matrix product.
+HEAD = 512
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _KINDS = pa.schema([(x.split()[0], pa.int64()) for x in PIECES.split(", ")])
@@ -79,7 +97,7 @@ def document_frequencies(ids: DataFrame, vocabulary: int) -> tuple[np.ndarray, i
 
 
 class Shard:
-    """Inverted index of some remainders, and their packing."""
+    """Inverted index of few remainders, and their packing in one chain."""
 
     def __init__(self, rows: list[tuple[int, int, int, np.ndarray]], idf: np.ndarray, mean: float):
         self.rows = rows  # (doc_id, start, tokens of the document, ids)
@@ -134,6 +152,187 @@ class Shard:
             yield window
 
 
+def _put(path: str, **arrays: np.ndarray) -> None:
+    fs, at = file_system(path)
+    held = io.BytesIO()
+    np.savez(held, **arrays)
+    with fs.open_output_stream(at) as f:
+        f.write(held.getbuffer())
+
+
+def _got(path: str) -> dict[str, np.ndarray]:
+    fs, at = file_system(path)
+    with fs.open_input_stream(at) as f, np.load(io.BytesIO(f.read())) as z:
+        return {k: z[k] for k in z.files}
+
+
+class Index:
+    """Block files of all remainders: for each its distinct ids and their BM25 weights."""
+
+    def __init__(self, tails: DataFrame, idf: np.ndarray, df: np.ndarray, mean: float):
+        self.folder = new_folder(tails.sparkSession, "index")
+        fs, at = file_system(self.folder)
+        fs.create_dir(at, recursive=True)
+        self.slot = np.full(len(df), -1, np.int32)  # the column of a frequent id
+        self.slot[np.argsort(-df, kind="stable")[:HEAD]] = np.arange(min(HEAD, len(df)))
+        folder = self.folder
+
+        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = []
+
+            def block() -> pa.RecordBatch:
+                terms, weights, ends = [], [], [0]
+                for _, ids in held:
+                    term, tf = np.unique(ids, return_counts=True)
+                    norm = K1 * (1 - B + B * len(ids) / max(mean, 1e-9))
+                    terms.append(term.astype(np.int32))
+                    weights.append((idf[term] * tf * (K1 + 1) / (tf + norm)).astype(np.float32))
+                    ends.append(ends[-1] + len(term))
+                path = f"{folder}/{uuid.uuid4().hex}"
+                _put(path, term=np.concatenate(terms), weight=np.concatenate(weights), ends=np.array(ends))
+                rids, lengths = np.array([r for r, _ in held], np.int64), np.array([len(x) for _, x in held], np.int32)
+                held.clear()
+                return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([rids.tobytes()]), pa.array([lengths.tobytes()])], names=["path", "rids", "lengths"])
+
+            for batch in batches:
+                for rid, start, n, data in zip(*(batch[c].to_pylist() for c in ("rid", "start", "n", "tail")), strict=True):
+                    held.append((rid, _ids(data, n - start)))
+                    if len(held) == BLOCK:
+                        yield block()
+            if held:
+                yield block()
+
+        found = tails.select("rid", "start", "n", "tail").mapInArrow(blocks, "path string, rids binary, lengths binary").collect()
+        self.paths = [r["path"] for r in found]
+        self.rids = np.concatenate([np.frombuffer(r["rids"], np.int64) for r in found])
+        self.lengths = np.concatenate([np.frombuffer(r["lengths"], np.int32) for r in found])
+        self.ends = np.cumsum([0] + [len(r["rids"]) // 8 for r in found])
+
+    def nearest(self, spark, seeds: np.ndarray, used: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best unused remainders of all blocks for each seed: seeds, remainders, scores."""
+        state = f"{self.folder}/{uuid.uuid4().hex}"
+        _put(state, used=used)
+        seeds = np.sort(seeds)
+        size = max(1, min(SEEDS, -(-len(seeds) // (2 * spark.sparkContext.defaultParallelism))))
+        chunks = [(seeds[a : a + size].astype(np.int64).tobytes(),) for a in range(0, len(seeds), size)]
+        paths, ends, slot = self.paths, self.ends, self.slot
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            free = ~_got(state)["used"]
+            for batch in batches:
+                for data in batch["seeds"].to_pylist():
+                    own = np.frombuffer(data, np.int64)
+                    best, which = _scored(own, free, paths, ends, slot, k)
+                    row, col = np.nonzero(which >= 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(which[row, col]), pa.array(best[row, col])], names=["seed", "row", "score"])
+
+        jobs = spark.createDataFrame(spark.sparkContext.parallelize(chunks, len(chunks)), "seeds binary")
+        out = jobs.mapInArrow(score, "seed long, row long, score float").toArrow()
+        return tuple(out[c].to_numpy() for c in ("seed", "row", "score"))
+
+
+def _runs(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers of runs that begin at ``starts`` and are ``n`` long."""
+    return np.repeat(starts - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+
+
+def _scored(seeds: np.ndarray, free: np.ndarray, paths: list[str], ends: np.ndarray, slot: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and rows of the k best free remainders for each of some seeds (ascending); -1 where there are fewer."""
+    head = int(slot.max()) + 1
+    query, rare_seed, rare_term = np.zeros((len(seeds), head), np.float32), [], []
+    place = np.searchsorted(ends, seeds, "right") - 1
+    for b in np.unique(place):
+        block, own = _got(paths[b]), np.flatnonzero(place == b)
+        a, z = block["ends"][seeds[own] - ends[b]], block["ends"][seeds[own] - ends[b] + 1]
+        term, owner = block["term"][_runs(a, z - a)], np.repeat(own, z - a)
+        often = slot[term] >= 0
+        query[owner[often], slot[term[often]]] = 1
+        rare_seed.append(owner[~often])
+        rare_term.append(term[~often])
+    rare_seed, rare_term = np.concatenate(rare_seed), np.concatenate(rare_term)
+    best, which = np.full((len(seeds), k), -np.inf, np.float32), np.full((len(seeds), k), -1, np.int64)
+    for b, path in enumerate(paths):
+        rows = np.flatnonzero(free[ends[b] : ends[b + 1]])
+        if not len(rows):
+            continue
+        block = _got(path)
+        a, z = block["ends"][rows], block["ends"][rows + 1]
+        at, owner = _runs(a, z - a), np.repeat(np.arange(len(rows)), z - a)
+        term, weight = block["term"][at], block["weight"][at]
+        often = slot[term] >= 0
+        dense = np.zeros((len(rows), head), np.float32)
+        dense[owner[often], slot[term[often]]] = weight[often]
+        order = np.argsort(term[~often], kind="stable")
+        term, weight, owner = term[~often][order], weight[~often][order], owner[~often][order]
+        # equal scores (copies) are ordered otherwise for each seed, else all seeds would ask for the same few
+        mix = 1 + np.float32(2e-6) * np.random.default_rng(b).random(2 * len(rows), np.float32)
+        mix = np.lib.stride_tricks.sliding_window_view(mix, len(rows))
+        for lo in range(0, len(seeds), AT_ONCE):
+            part = slice(lo, lo + AT_ONCE)
+            score = query[part] @ dense.T
+            r = slice(*np.searchsorted(rare_seed, [lo, lo + AT_ONCE]))
+            x, y = np.searchsorted(term, rare_term[r], "left"), np.searchsorted(term, rare_term[r], "right")
+            hits = _runs(x, y - x)
+            np.add.at(score.reshape(-1), np.repeat(rare_seed[r] - lo, y - x) * len(rows) + owner[hits], weight[hits])
+            score *= mix[seeds[part] * 7919 % len(rows)]
+            if len(rows) > k:
+                top = np.argpartition(score, len(rows) - k, axis=1)[:, len(rows) - k :]
+            else:
+                top = np.broadcast_to(np.arange(len(rows)), score.shape)
+            both = np.concatenate([best[part], np.take_along_axis(score, top, 1)], axis=1)
+            names = np.concatenate([which[part], rows[top] + ends[b]], axis=1)
+            keep = np.argsort(-both, axis=1, kind="stable")[:, :k]
+            best[part], which[part] = np.take_along_axis(both, keep, 1), np.take_along_axis(names, keep, 1)
+    return best, which
+
+
+def _grown(spark, index: Index, put) -> list[tuple[int, int]]:
+    """Grow the chains; ``put`` gets each full window as a list of (row, first id, length).  Returns the last (row, first id), not packed yet."""
+    lengths, n = index.lengths, len(index.lengths)
+    used, first = np.zeros(n, bool), np.zeros(n, np.int32)  # first: what is used of a cut remainder
+    unused, k, chains = n, PROPOSALS, max(1, n // CHAIN)
+    windows: dict[int, list] = {}  # seed -> [room, pieces]
+
+    def opened(row: int) -> None:
+        nonlocal unused
+        unused -= not used[row]
+        used[row] = True
+        windows[row] = [WINDOW - int(lengths[row] - first[row]), [(row, int(first[row]), int(lengths[row] - first[row]))]]
+
+    while unused + sum(len(w[1]) for w in windows.values()) > SHARD:
+        if not unused:  # the emptier half goes to the others
+            if len(windows) == 1:
+                break
+            chains = len(windows) // 2
+            for row in sorted(windows, key=lambda r: (-windows[r][0], r))[: -(-len(windows) // 2)]:
+                for piece, at, _ in windows.pop(row)[1]:
+                    used[piece], first[piece], unused = False, at, unused + 1
+        want = max(1, min(chains, unused // 2)) - len(windows)
+        if want > 0:
+            free = np.flatnonzero(~used)
+            for row in free[:: max(1, len(free) // want)][:want].tolist():
+                opened(row)
+        seed, row, score = index.nearest(spark, np.fromiter(windows, np.int64), used, k)
+        order = np.lexsort((row, seed, -score))
+        before = unused
+        for s, r in zip(seed[order].tolist(), row[order].tolist(), strict=True):
+            if used[r] or s not in windows:
+                continue
+            used[r], unused = True, unused - 1
+            w, at, length = windows[s], int(first[r]), int(lengths[r] - first[r])
+            fits = min(length, w[0])
+            w[1].append((r, at, fits))
+            w[0] -= fits
+            if not w[0]:
+                put(w[1])
+                del windows[s]
+                if fits < length:
+                    first[r] = at + fits
+                    opened(r)
+        k = min(256, 2 * k) if before - unused < len(windows) // 4 else k
+    return [(r, int(first[r])) for r in np.flatnonzero(~used)] + [(r, at) for w in windows.values() for r, at, _ in w[1]]
+
+
 def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, locality: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """One row for each piece of each document of (doc_id, text, locality columns)."""
     spark = docs.sparkSession
@@ -158,37 +357,65 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, locality: tuple[str
                         made += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 7)], schema=_KINDS)
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, made, held = TaskContext.get().partitionId(), 0, []
-
-        def pack() -> pa.RecordBatch:
-            nonlocal made, held
-            rows = []
-            for window in Shard(held, idf, mean).packed():
-                at = 0
-                for k, a, n in window:
-                    key, start, total, own = held[k]
-                    rows.append((key, start + a, n, zlib.crc32(own[a : a + n].astype("<u4")), total, (part << 32 | made) << 1 | 1, at))
-                    at += n
-                made += 1
-            held = []
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_KINDS)
+        at = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + batch.num_rows), pa.int64()), *batch.columns], names=["rid", *batch.schema.names])
+            at += batch.num_rows
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, start, n, data in zip(*(batch[c].to_pylist() for c in ("doc_id", "start", "n", "tail")), strict=True):
-                held.append((key, start, n, _ids(data, n - start)))
-                if len(held) == SHARD:
-                    yield pack()
-        if held:
-            yield pack()
+            rows = []
+            for key, start, n, data, first, length, sequence, offset in zip(*(batch[c].to_pylist() for c in ("doc_id", "start", "n", "tail", "first", "length", "sequence_id", "offset")), strict=True):
+                own = _ids(data, n - start)[first : first + length].astype("<u4")
+                rows.append((key, start + first, length, zlib.crc32(own), n, sequence, offset))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 7)], schema=_KINDS)
 
     start = (F.col("n") - F.pmod("n", F.lit(WINDOW))).cast("long")
     tails = ids.where(F.pmod("n", F.lit(WINDOW)) > 0).select("doc_id", "place", start.alias("start"), "n", F.expr(f"substring(ids, cast((n - n % {WINDOW}) * (length(ids) div n) + 1 as int))").alias("tail"), F.xxhash64("doc_id", "ids").alias("mix"))
-    tasks = max(1, min(-(-n_docs // (4 * SHARD)), max(shuffle_tasks(spark), n_docs // (16 * SHARD))))
-    dealt = tails.repartitionByRange(tasks, "place", "mix").sortWithinPartitions("place", "mix", "doc_id")
-    return ids.select("doc_id", "ids", "n").mapInArrow(full, PIECES).unionByName(dealt.mapInArrow(shards, PIECES))
+    tasks = max(1, min(-(-n_docs // BLOCK), max(shuffle_tasks(spark), n_docs // (4 * BLOCK))))
+    dealt = tails.repartitionByRange(tasks, "place", "mix").sortWithinPartitions("place", "mix", "doc_id").select("doc_id", "start", "n", "tail")
+    tails = written(dealt.mapInArrow(numbered, "rid long, doc_id long, start long, n long, tail binary"), "tails")
+    whole = ids.select("doc_id", "ids", "n").mapInArrow(full, PIECES)
+    if tails.isEmpty():
+        return whole
+
+    index = Index(tails, idf, df, mean)
+    folder = new_folder(spark, "pieces")
+    fs, at = file_system(folder)
+    fs.create_dir(at, recursive=True)
+    names, held, made = ("rid", "first", "length", "sequence_id", "offset"), [], 0
+
+    def flush() -> None:
+        nonlocal held
+        import pyarrow.parquet as pq
+
+        pq.write_table(pa.table([pa.array(c, pa.int64()) for c in zip(*held, strict=True)], names=list(names)), f"{at}/{uuid.uuid4().hex}.parquet", filesystem=fs)
+        held = []
+
+    def put(window: list[tuple[int, int, int]]) -> None:
+        nonlocal made
+        offset = 0
+        for row, a, n in window:
+            held.append((int(index.rids[row]), a, n, made << 1 | 1, offset))
+            offset += n
+        made += 1
+        if len(held) >= 1 << 18:
+            flush()
+
+    last = {int(index.rids[r]): a for r, a in _grown(spark, index, put)}
+    if last:
+        rows = tails.where(F.col("rid").isin(list(last))).orderBy("rid").collect()
+        own = [(r["rid"], r["start"], r["n"], _ids(bytes(r["tail"]), r["n"] - r["start"])[last[r["rid"]] :]) for r in rows]
+        where = {int(index.rids[k]): int(k) for k in np.flatnonzero(np.isin(index.rids, list(last)))}
+        for window in Shard(own, idf, mean).packed():
+            put([(where[own[k][0]], last[own[k][0]] + a, n) for k, a, n in window])
+    if held:
+        flush()
+    pieces = spark.read.schema(", ".join(f"{c} long" for c in names)).parquet(folder)
+    return whole.unionByName(pieces.join(tails, "rid").drop("rid").mapInArrow(cut, PIECES))
 
 
 def op6_retrieval_packing(spark, sf_dir) -> DataFrame:

@@ -303,6 +303,35 @@ def test_packing_takes_the_nearest():
     assert [k for k, _, _ in first][:2] == [0, 2] and sum(n for *_, n in first) == 1024
 
 
+def test_packing_searches_all_blocks(spark, monkeypatch):
+    """Proposals over several blocks are the brute-force ones, and copies far apart in the locality order share a window."""
+    for name, value in (("SHARD", 4), ("BLOCK", 7), ("SEEDS", 3), ("AT_ONCE", 2), ("HEAD", 20)):
+        monkeypatch.setattr(packing, name, value)
+    r = np.random.default_rng(5)
+    word = lambda: "".join(r.choice(list("abcdefgh"), 4))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(40)]
+    docs = spark.createDataFrame([(k, texts[k % 40], "en", f"s{k // 40}") for k in range(80)], "doc_id long, text string, lang string, source string")
+    kept, nearest = [], packing.Index.nearest
+
+    def watched(self, spark, seeds, used, k):
+        out = nearest(self, spark, seeds, used, k)
+        blocks = [packing._got(p) for p in self.paths]
+        sets = [dict(zip(b["term"][a:z].tolist(), b["weight"][a:z].tolist(), strict=True)) for b in blocks for a, z in zip(b["ends"], b["ends"][1:], strict=False)]
+        for s in seeds.tolist():
+            want = sorted((sum(w for t, w in sets[j].items() if t in sets[s]) for j in np.flatnonzero(~used)), reverse=True)[:k]
+            assert np.allclose(sorted(out[2][out[0] == s], reverse=True), want, rtol=1e-4)
+        kept.append(len(self.paths))
+        return out
+
+    monkeypatch.setattr(packing.Index, "nearest", watched)
+    by_sequence = {}
+    for p in packing.packed(docs, default_tokenizer()).collect():
+        by_sequence.setdefault(p["sequence_id"], set()).add(p["doc_id"] % 40 if p["doc_id"] is not None else None)
+        by_sequence.setdefault(("doc", p["doc_id"]), set()).add(p["sequence_id"])
+    together = sum(bool(by_sequence["doc", k] & by_sequence["doc", k + 40]) for k in range(40))
+    assert kept[0] > 3 and together >= 20
+
+
 def test_token_files(spark, docs, rows, none, monkeypatch):
     monkeypatch.setattr(token_files, "GROUP_IDS", 500)
     folder = new_folder(spark, "t")
