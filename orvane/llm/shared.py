@@ -1,6 +1,7 @@
 """Which hashes occur more than once in a corpus, without a row for each hash.
 
-Documents are dealt to blocks of bounded bytes by a hash of key and text.  Each
+Documents are dealt to blocks of bounded bytes by a hash of key, text and input
+partition.  Each
 block sends, for each bucket of hashes, one binary value of 32-bit remainders;
 the bucket counts them and sends back one byte for each, compressed: 0 for a
 hash seen once, else the number of bits of its count.  A second pass over the
@@ -25,8 +26,8 @@ BUCKET_HASHES = 3_000_000
 
 
 def in_blocks(docs: DataFrame, size: int) -> DataFrame:
-    """Add ``_block`` to rows (doc_id, _text)."""
-    return docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", "_text"), F.lit(max(1, -(-size // BLOCK_BYTES)))).cast("int"))
+    """Add ``_block`` to rows (doc_id, _text).  Repeats of one row are split too, by the partition that they come from."""
+    return docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", "_text", F.spark_partition_id()), F.lit(max(1, -(-size // BLOCK_BYTES)))).cast("int"))
 
 
 def ordered(block: pa.Table) -> pa.Table:

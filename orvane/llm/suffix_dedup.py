@@ -1,27 +1,30 @@
 """Suffix-array deduplication of 50-byte strings across documents.
 
-Finding strings.  Every 50-byte window has a sampling anchor: the least of its
-27 hashes of 24 bytes, the first of equals.  Equal windows have equal anchors,
-so windows are sharded by content.  Anchors seen once in the corpus (see
-:mod:`.shared`) hold no repeated window and are dropped; consecutive windows of
-one anchor make a context, their joint bytes, and equal contexts of a block of
-documents are one, with the smallest doc_id.
-
-Shards.  A bucket of anchors gathers the contexts of all blocks.  They are cut
-to shards of bounded bytes, between anchors if they can; each shard has a suffix array made by
-Larsson-Sadakane refinement (groups of equal rank are split by the rank ``h``
-further on, ``h`` doubling) and common prefixes by Kasai's rule (only the
-irreducible ones are compared; the others follow from their left neighbour).
-Runs with common prefixes of 50 or more are the classes of equal windows, with
-their smallest doc_id, the owner.  Where an anchor's contexts fill several
-shards, these are merged by binary search in their sorted windows.
-
-Anchors that are very frequent would fill one bucket.  Their contexts are cut
-into single windows, which are dealt by their own hash: each block sends one of
-a kind, so that no bucket grows with the copies of a passage.
+Finding strings.  Every 50-byte window has an anchor: the least of its 27
+hashes of 24 bytes.  Equal windows have equal anchors, so windows are sharded by
+content.  Anchors seen once in the corpus (see :mod:`.shared`) hold no repeated
+window and are dropped; consecutive windows of one anchor make a context, their
+joint bytes (76 at most).  Equal texts of a block of documents are one text, and
+equal contexts one context, with the smallest doc_id; contexts are compared
+byte by byte, so nothing rests on a hash.
+
+Shards.  A bucket of anchors gathers the contexts of all blocks.  All of them
+are cut to shards of bounded bytes, between anchors if they can; each shard has
+a suffix array made by Larsson-Sadakane refinement (groups of equal rank are
+split by the rank ``h`` further on, ``h`` doubling) and common prefixes by
+Kasai's rule (only the irreducible ones are compared; the others follow from
+their left neighbour).  Runs with common prefixes of 50 or more are the classes
+of equal windows, with their smallest doc_id, the owner.  Where an anchor's
+contexts fill several shards, these are merged by binary search in their sorted
+windows.
+
+Anchors that are very frequent would fill one bucket.  Their distinct contexts
+are cut into single windows, which are dealt by their own hash and go through
+the same shards: each block sends one of a kind.
 
 Owners go back to the blocks, run-length encoded, where windows owned by a
-smaller doc_id mark their bytes.
+smaller doc_id mark their bytes.  All of a block's work is on arrays, and what is
+made for each window is made for a bounded number of windows at a time.
 
 Nulls and odd input: a null text is empty; texts of under 50 bytes lose
 nothing; rows with equal doc_id count as one document, so none of them loses
@@ -35,26 +38,37 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import packed_row, small_batches, table, text_bytes
-from .scan import U, chunks, mixed
+from .scan import U, mixed, text_buffers
 from .shared import buckets_for, classes_for, in_blocks, ordered, shared_classes
 
 LENGTH = 50
 GRAM = 24
 SPAN = LENGTH - GRAM + 1
-#: Bytes of text that are scanned at once, so that the arrays stay in a core's cache.
-PART_BYTES = 96 << 10
+#: Windows that are scanned at once, so that the arrays stay in a core's cache.
+PART = 96 << 10
 #: Bytes of contexts in a shard.
 SHARD_BYTES = 192 << 10
 #: Bytes of text for each bucket of contexts.
 BUCKET_TEXT = 8 << 20
 #: Class (bits of the count) from which an anchor's contexts are cut to windows.
 FREQUENT = 13
+#: A context in a row of its own: its bytes, zeros, and its number of windows in the last place.
+ROW = 80
+#: Rows that are gathered at once.
+AT_ONCE = 1 << 14
 NONE = np.int64(np.iinfo(np.int64).min)
+MOST = np.iinfo(np.int64).max
+
+
+def runs(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers of runs that begin at ``starts`` and are ``n`` long."""
+    return np.repeat(starts - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum())) if len(n) else np.zeros(0, np.int64)
 
 
 # -- anchors ---------------------------------------------------------------
@@ -75,35 +89,87 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, first window, last window) of each anchor of the texts in ``data``; windows do not cross texts."""
-    empty = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if len(data) < LENGTH:
-        return empty
-    h = _gram_hashes(data)
-    low = U(max(1, int(len(h)).bit_length()))
-    key = h >> low
-    key <<= low
-    key |= np.arange(len(h), dtype=np.uint64)  # least hash, then first place
-    for step in (1, 2, 4, 8):
-        key = np.minimum(key[:-step], key[step:])
-    key = np.minimum(key[: len(key) - (SPAN - 16)], key[SPAN - 16 :])
-    # a window begins an anchor where its least differs from the one before, or where a text begins
+    """(anchor, first window, windows) of each run of up to 27 windows of one anchor; windows do not cross texts.
+
+    An anchor is a hash alone, whatever stands around the window, so equal
+    windows have equal anchors even where hashes tie.
+    """
     starts, stops = bounds[:-1], bounds[1:] - LENGTH + 1
     whole = starts < stops
     starts, stops = starts[whole], stops[whole]
-    if not len(starts):
-        return empty
-    new = np.zeros(len(key) + 1, bool)
-    np.not_equal(key[1:], key[:-1], out=new[1:-1])
-    new[starts] = True
-    new[stops] = True
-    first = np.flatnonzero(new)
-    text = np.searchsorted(starts, first, "right") - 1
-    ok = (text >= 0) & (first < stops[np.maximum(text, 0)])
-    last = np.r_[first[1:], len(key)] - 1
-    first, last = first[ok], last[ok]
-    at = (key[first] & ((U(1) << low) - U(1))).astype(np.int64)
-    return h[at], first, last
+    found, end = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))], len(data) - LENGTH + 1
+    for lo in range(0, end if len(starts) else 0, PART):
+        hi = min(lo + PART, end)
+        key = _gram_hashes(data[lo : hi + LENGTH - 1])
+        for step in (1, 2, 4, 8, SPAN - 16):
+            key = np.minimum(key[:-step], key[step:])
+        new = np.ones(hi - lo, bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        for edges in (starts, stops):
+            a, b = np.searchsorted(edges, (lo, hi))
+            new[edges[a:b] - lo] = True
+        first = np.flatnonzero(new)
+        n = np.diff(np.r_[first, hi - lo])
+        if n.max() > SPAN:  # one hash again and again
+            times = -(-n // SPAN)
+            at = runs(np.zeros(len(n), np.int64), times) * SPAN
+            first, n = np.repeat(first, times) + at, np.minimum(np.repeat(n, times) - at, SPAN)
+        text = np.searchsorted(starts, first + lo, "right") - 1
+        ok = (text >= 0) & (first + lo < stops[np.maximum(text, 0)])
+        found.append((key[first[ok]], first[ok] + lo, n[ok]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+# -- contexts as rows ---------------------------------------------------------
+
+
+_MASKS = (np.arange(ROW) < (np.arange(SPAN + 1) + LENGTH - 1)[:, None]).astype(np.uint8) * np.uint8(255)
+
+
+def _rows(data: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The contexts of ``n`` windows from ``first``; ``data`` has ``ROW`` bytes to spare at its end."""
+    out = np.lib.stride_tricks.sliding_window_view(data, ROW)[first]
+    out &= _MASKS[n]
+    out[:, ROW - 1] = n
+    return out
+
+
+def _hashed(data: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    out = np.empty(len(first), np.uint64)
+    for lo in range(0, len(first), AT_ONCE):
+        part = slice(lo, lo + AT_ONCE)
+        w = _rows(data, first[part], n[part]).view(np.uint64)
+        h = w[:, ROW // 8 - 1] * U(0x9E3779B97F4A7C15)
+        for k in range(ROW // 8 - 1):
+            h = (h ^ (h >> U(32))) * U(0xD6E8FEB86659FD93) + w[:, k]
+        out[part] = mixed(h)
+    return out
+
+
+def folded(data: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct number of each context, one of each distinct, and all hashes.
+
+    Equal numbers mean equal bytes.  Should hashes tie, equal contexts may get
+    several numbers, which costs time only.
+    """
+    h = _hashed(data, first, n)
+    order = np.argsort(h, kind="stable")
+    new = np.ones(len(h), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    tied = np.flatnonzero(~new)
+    for lo in range(0, len(tied), AT_ONCE):
+        k = tied[lo : lo + AT_ONCE]
+        a, b = order[k], order[k - 1]
+        new[k] = (_rows(data, first[a], n[a]).view(np.uint64) != _rows(data, first[b], n[b]).view(np.uint64)).any(axis=1)
+    to = np.empty(len(h), np.int64)
+    to[order] = np.cumsum(new) - 1
+    return to, order[new], h
+
+
+def _least(values: np.ndarray, to: np.ndarray, size: int) -> np.ndarray:
+    out = np.full(size, MOST)
+    np.minimum.at(out, to, values)
+    return out
 
 
 # -- suffix array and common prefixes -----------------------------------------
@@ -203,55 +269,59 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, packed: np.ndarray)
 class _Shard:
     """Contexts, the classes of their equal windows in suffix order, and each class's smallest owner."""
 
-    def __init__(self, texts: list[bytes], counts: np.ndarray, owners: np.ndarray):
-        whole = b"\x00".join(texts) + b"\x00"
-        lengths = np.array([len(t) for t in texts], np.int64)
+    def __init__(self, data: np.ndarray, first: np.ndarray, counts: np.ndarray, owners: np.ndarray):
+        lengths = counts + LENGTH - 1
         starts = np.r_[0, np.cumsum(lengths + 1)[:-1]]
-        symbols = np.frombuffer(whole, np.uint8).astype(np.int64) + 1
-        symbols[starts + lengths] = 0
+        source, to = runs(first, lengths), runs(starts, lengths)
+        self.whole = np.zeros(int(lengths.sum()) + len(lengths) + LENGTH, np.uint8)
+        self.whole[to] = data[source]
+        symbols = np.zeros(int(lengths.sum()) + len(lengths), np.int64)  # 0 ends a context
+        symbols[to] = data[source] + np.int64(1)
         order, packed = suffix_array(symbols, LENGTH)
         prefix = common_prefixes(symbols, order, packed)
         window = np.full(len(symbols), -1, np.int64)  # the window that begins at a place
-        flat = np.repeat(starts - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
+        flat = runs(starts, counts)
         window[flat] = np.arange(len(flat))
         new = np.cumsum(prefix < LENGTH)
         taken = window[order] >= 0
         in_order, run = window[order][taken], new[taken]
-        first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-        owner_of = np.repeat(owners, counts)
-        self.owner = np.minimum.reduceat(owner_of[in_order], first)
+        edge = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        self.owner = np.minimum.reduceat(np.repeat(owners, counts)[in_order], edge)
         self.cls = np.empty(len(flat), np.int64)
-        self.cls[in_order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(in_order)]))
-        self.whole, self.at = whole, flat[in_order[first]]
+        self.cls[in_order] = np.repeat(np.arange(len(edge)), np.diff(np.r_[edge, len(in_order)]))
+        self.at = flat[in_order[edge]]
 
     def keys(self) -> np.ndarray:
         """The classes' windows in order, as fixed bytes (a last byte keeps nulls at the end)."""
-        raw = np.frombuffer(self.whole, np.uint8)[self.at[:, None] + np.arange(LENGTH)]
+        raw = np.lib.stride_tricks.sliding_window_view(self.whole, LENGTH)[self.at]
         return np.ascontiguousarray(np.concatenate([raw, np.ones((len(raw), 1), np.uint8)], axis=1)).view(f"S{LENGTH + 1}").ravel()
 
 
-def owners_of(texts: list[bytes], counts: np.ndarray, owners: np.ndarray, tags: np.ndarray) -> np.ndarray:
-    """The smallest owner of every window of the contexts ``texts`` (``counts`` windows each, in order of ``tags``).
+def owners_of(data: np.ndarray, first: np.ndarray, counts: np.ndarray, owners: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """The smallest owner of every window of the contexts at ``first`` (``counts`` windows each, in order of ``tags``).
 
     Equal windows have equal tags.  Shards are cut between tags; the shards of
     a tag that is too large for one are merged by binary search.
     """
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    edges = np.r_[np.flatnonzero(tags[1:] != tags[:-1]) + 1, len(texts)]
+    ends = np.cumsum(counts + LENGTH)
+    edges = np.r_[np.flatnonzero(tags[1:] != tags[:-1]) + 1, len(counts)]
     shards, chains, a, inside = [], [], 0, False
-    while a < len(texts):
+    while a < len(counts):
         most = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SHARD_BYTES, "right")))
         edge = edges[np.searchsorted(edges, most, "right") - 1] if edges[0] <= most else a
         b = int(edge) if edge > a else most
-        shards.append(_Shard(texts[a:b], counts[a:b], owners[a:b]))
-        if inside:
+        shards.append(_Shard(data, first[a:b], counts[a:b], owners[a:b]))
+        lasting = inside or b < len(counts) and tags[b] == tags[b - 1]
+        if not lasting:  # no other shard has its windows
+            shards[-1] = shards[-1].owner[shards[-1].cls]
+        elif inside:
             chains[-1].append(shards[-1])
         else:
             chains.append([shards[-1]])
-        inside = b < len(texts) and tags[b] == tags[b - 1]
+        inside = b < len(counts) and tags[b] == tags[b - 1]
         a = b
     for chain in chains:
-        keys = [s.keys() for s in chain] if len(chain) > 1 else []
+        keys = [s.keys() for s in chain]
         for i, s in enumerate(chain):  # each shard's classes are looked up in every other's of its chain
             for j in range(i + 1, len(chain)):
                 t = chain[j]
@@ -259,157 +329,147 @@ def owners_of(texts: list[bytes], counts: np.ndarray, owners: np.ndarray, tags:
                 hit = np.flatnonzero(keys[j][at] == keys[i])
                 least = np.minimum(s.owner[hit], t.owner[at[hit]])
                 s.owner[hit], t.owner[at[hit]] = least, least
-    return np.concatenate([s.owner[s.cls] for s in shards])
+    return np.concatenate([np.zeros(0, np.int64), *(s.owner[s.cls] if isinstance(s, _Shard) else s for s in shards)])
 
 
 # -- blocks ---------------------------------------------------------------------
 
 
 class _Block:
-    """The documents of a block in order, and their anchors."""
+    """The distinct texts of a block in order, and their anchors."""
 
     def __init__(self, block: pa.Table):
-        block = ordered(block)
-        self.ids, column = block["doc_id"].to_pylist(), block["_text"].combine_chunks()
-        self.rank = np.array([NONE if i is None else i for i in self.ids], np.int64)
-        self.parts = []
-        for c in chunks(column, PART_BYTES):
-            self.parts.append((c, *anchors(c.data, c.bounds)))
-        self.hashes = np.concatenate([np.zeros(0, np.uint64), *(p[1] for p in self.parts)])
-
-    def contexts(self, classes: np.ndarray):
-        """(hash, frequent, bytes, windows, doc rank, part, first window) of each shared anchor; frequent ones window by window."""
-        out, base = [], 0
-        for k, (c, h, first, last) in enumerate(self.parts):
-            own = classes[base : base + len(h)]
-            base += len(h)
-            data = c.data.tobytes()
-            shared = np.flatnonzero(own > 0)
-            doc = c.row + np.searchsorted(c.bounds, first[shared], "right") - 1
-            # empty texts share their bound with the next one: the last of equals is meant
-            for i, d in zip(shared.tolist(), doc.tolist(), strict=True):
-                a, b = int(first[i]), int(last[i])
-                if own[i] >= FREQUENT:
-                    out += [(None, data[w : w + LENGTH], 1, d, k, w) for w in range(a, b + 1)]
-                else:
-                    out.append((int(h[i]), data[a : b + LENGTH], b - a + 1, d, k, a))
-        return out
-
-
-def _grouped(block: _Block, classes: np.ndarray, buckets: int):
-    """Distinct contexts (bytes, windows, smallest rank, anchor, bucket), and where each occurrence finds its own.
-
-    Equal bytes have equal windows and so equal anchors.
-    """
-    found: dict[bytes, int] = {}
-    texts, counts, least, tags = [], [], [], []
-    uses: list[tuple[int, int, int, int, int]] = []
-    rank = block.rank.tolist()
-    for h, data, n, d, part, at in block.contexts(classes):
-        k = found.get(data)
-        if k is None:
-            k = found[data] = len(texts)
-            texts.append(data)
-            counts.append(n)
-            least.append(rank[d])
-            tags.append(int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little") if h is None else h)
-        elif rank[d] < least[k]:
-            least[k] = rank[d]
-        uses.append((k, d, part, at, n))
-    tags = np.array(tags, np.uint64)
-    return texts, np.array(counts, np.int64), np.array(least, np.int64), tags, ((tags >> U(13)) % U(buckets)).astype(np.int64), uses
+        texts = block["_text"].combine_chunks().dictionary_encode()
+        self.code = texts.indices.to_numpy()
+        self.rank = pc.fill_null(block["doc_id"], int(NONE)).to_numpy()
+        self.least = _least(self.rank, self.code, len(texts.dictionary))
+        data, bounds = text_buffers(texts.dictionary)
+        self.data = np.concatenate([data[bounds[0] : bounds[-1]], np.zeros(ROW, np.uint8)])
+        self.bounds = bounds - bounds[0]
+        self.hashes, self.first, self.n = anchors(self.data[:-ROW], self.bounds)
+
+
+class _Contexts:
+    """The shared contexts of a block: each occurrence's distinct one, and what is sent of those."""
+
+    def __init__(self, block: _Block, classes: np.ndarray, buckets: int):
+        shared = np.flatnonzero(classes > 0)
+        self.first, self.n = block.first[shared], block.n[shared]
+        # empty texts share their bound with the next one: the last of equals is meant
+        self.text = np.searchsorted(block.bounds, self.first, "right") - 1
+        self.to, pick, _ = folded(block.data, self.first, self.n)
+        first, n, least = self.first[pick], self.n[pick], _least(block.least[self.text], self.to, len(pick))
+        often = classes[shared][pick] >= FREQUENT
+        single = runs(first[often], n[often])
+        one = np.ones(len(single), np.int64)
+        window, some, h = folded(block.data, single, one)
+        self.sent_first = np.r_[first[~often], single[some]]
+        self.sent_n = np.r_[n[~often], one[some]]
+        self.sent_least = np.r_[least[~often], _least(np.repeat(least[often], n[often]), window, len(some))]
+        self.tags = np.r_[block.hashes[shared][pick][~often], h[some]]
+        self.bucket = ((self.tags >> U(13)) % U(buckets)).astype(np.int64)
+        # where a distinct context's windows are among all that is sent, window by window
+        sent_at = np.cumsum(self.sent_n) - self.sent_n
+        self.at = np.cumsum(n) - n
+        self.window = np.empty(int(n.sum()), np.int64)
+        self.window[runs(self.at[~often], n[~often])] = runs(sent_at[: int((~often).sum())], n[~often])
+        self.window[runs(self.at[often], n[often])] = int(n[~often].sum()) + window
+
+    def dealt(self) -> list[tuple[int, np.ndarray]]:
+        """Each bucket with what is sent to it."""
+        order = np.argsort(self.bucket, kind="stable")
+        used, edge = np.unique(self.bucket[order], return_index=True)
+        return list(zip(used.tolist(), np.split(order, edge[1:]), strict=True))
+
+
+def _bytes_of(data: np.ndarray, first: np.ndarray, n: np.ndarray) -> bytes:
+    """The contexts one after the other."""
+    return data[runs(first, n + LENGTH - 1)].tobytes()
+
+
+_SENT = pa.schema([("shard", pa.int32()), ("block", pa.int32()), *((x, pa.binary()) for x in ("texts", "counts", "least", "tags"))])
+
+
+def _owned(shard: pa.Table) -> pa.Table:
+    """The owners of all windows of a bucket, for each block that sent some."""
+    shard = shard.sort_by("block")
+    data, bounds = text_buffers(shard["texts"].combine_chunks())
+    data = np.concatenate([data[bounds[0] : bounds[-1]], np.zeros(ROW, np.uint8)])
+    values = {c: np.frombuffer(b"".join(shard[c].to_pylist()), k) for c, k in (("counts", "u1"), ("least", "<i8"), ("tags", "<u4"))}
+    counts = values["counts"].astype(np.int64)
+    first = np.cumsum(counts + LENGTH - 1) - (counts + LENGTH - 1)
+    to, pick, _ = folded(data, first, counts)  # equal contexts of several blocks are one
+    pick_order = np.argsort(values["tags"][pick], kind="stable")  # contexts of one anchor side by side
+    pick = pick[pick_order]
+    place = np.empty(len(pick), np.int64)
+    place[pick_order] = np.arange(len(pick))
+    to = place[to]
+    answer = owners_of(data, first[pick], counts[pick], _least(values["least"], to, len(pick)), values["tags"][pick])
+    at = np.cumsum(counts[pick]) - counts[pick]
+    cuts, back = np.r_[0, np.cumsum([len(x) for x in shard["counts"].to_pylist()])], []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        own = answer[runs(at[to[a:b]], counts[a:b])]
+        change = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        back.append((np.diff(np.r_[change, len(own)]).astype("<u4").tobytes(), own[change].astype("<i8").tobytes()))
+    return pa.table({"block": shard["block"], "shard": shard["shard"], "runs": pa.array([x for x, _ in back], pa.binary()), "owners": pa.array([x for _, x in back], pa.binary())})
+
+
+def _gone(block: _Block, held: _Contexts, owner: np.ndarray) -> list[np.ndarray]:
+    """For each distinct text its maximal removed runs, as rows (start, stop)."""
+    found = [(np.zeros(0, np.int64),) * 3]
+    for lo in range(0, len(held.first), AT_ONCE):
+        part = slice(lo, lo + AT_ONCE)
+        n, text = held.n[part], held.text[part]
+        mine = owner[held.window[runs(held.at[held.to[part]], n)]] < np.repeat(block.least[text], n)
+        at, of = runs(held.first[part], n)[mine], np.repeat(text, n)[mine]
+        if len(at):
+            edge = np.flatnonzero(np.r_[True, (at[1:] > at[:-1] + LENGTH) | (of[1:] != of[:-1])])
+            found.append((at[edge], at[np.r_[edge[1:], len(at)] - 1] + LENGTH, of[edge]))
+    start, stop, of = (np.concatenate(x) for x in zip(*found, strict=True))
+    edge = np.flatnonzero(np.r_[len(start) > 0, (start[1:] > stop[:-1]) | (of[1:] != of[:-1])])
+    spans = np.stack([start[edge], stop[np.r_[edge[1:], len(stop)] - 1] if len(edge) else stop], axis=1) - block.bounds[of[edge]][:, None]
+    return np.split(spans, np.searchsorted(of[edge], np.arange(1, len(block.least))))
 
 
 def removed_bytes(docs: DataFrame, size: int, outputs: str | T.StructType, output) -> DataFrame:
-    """Apply ``output(block table in order, [removed mask of each row])`` to every block of (doc_id, _text, ...)."""
+    """Apply ``output(block table in order, [rows (start, stop) of removed runs for each row])`` to every block of (doc_id, _text, ...)."""
     small_batches(docs.sparkSession)
     blocks = in_blocks(docs, size)
     buckets, shards = buckets_for(size // 14), max(1, size // BUCKET_TEXT)
 
     def hashes_of(block: pa.Table) -> np.ndarray:
-        return _Block(block.select(["doc_id", "_text"])).hashes
+        return _Block(block).hashes  # the exchange of the blocks serves all three passes
 
     def send(block: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(block):
-            return pa.table({k: pa.array([], v) for k, v in (("shard", pa.int32()), ("block", pa.int32()), ("texts", pa.binary()), ("lengths", pa.binary()), ("counts", pa.binary()), ("least", pa.binary()), ("tags", pa.binary()))})
-        number, held = block["_block"][0].as_py(), _Block(block)
-        texts, counts, least, tags, where, _ = _grouped(held, classes_for(held.hashes, answers, buckets), shards)
-        rows = []
-        for s in np.unique(where).tolist():
-            k = np.flatnonzero(where == s)
-            own = [texts[i] for i in k.tolist()]
-            rows.append({"shard": s, "block": number, "texts": b"".join(own), "lengths": np.array([len(t) for t in own], "<u2").tobytes(), "counts": counts[k].astype("u1").tobytes(), "least": least[k].astype("<i8").tobytes(), "tags": (tags[k] >> U(32)).astype("<u4").tobytes()})
-        return pa.Table.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("block", pa.int32()), *((x, pa.binary()) for x in ("texts", "lengths", "counts", "least", "tags"))]))
-
-    def own(shard: pa.Table) -> pa.Table:
-        shard = shard.sort_by("block")
-        texts, counts, least, tags, cuts = [], [], [], [], [0]
-        for t, n, c, o, g in zip(*(shard[x].to_pylist() for x in ("texts", "lengths", "counts", "least", "tags")), strict=True):
-            ends = np.cumsum(np.frombuffer(n, "<u2")).tolist()
-            texts += [t[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-            counts.append(np.frombuffer(c, "u1").astype(np.int64))
-            least.append(np.frombuffer(o, "<i8"))
-            tags.append(np.frombuffer(g, "<u4"))
-            cuts.append(len(texts))
-        counts, least = np.concatenate(counts), np.concatenate(least)
-        # equal contexts of several blocks are one
-        index: dict[bytes, int] = {}
-        to = np.array([index.setdefault(t, len(index)) for t in texts], np.int64)
-        owner = np.full(len(index), np.iinfo(np.int64).max)
-        np.minimum.at(owner, to, least)
-        some = np.zeros(len(index), np.int64)
-        some[to] = counts
-        # an anchor with one context needs no search: that is the owner of its windows
-        tag = np.zeros(len(index), np.int64)
-        tag[to] = np.concatenate(tags)
-        _, kind, sizes = np.unique(tag, return_inverse=True, return_counts=True)
-        answer = np.repeat(owner, some)
-        several = np.flatnonzero(sizes[kind] > 1)
-        if len(several):
-            several = several[np.argsort(tag[several], kind="stable")]  # contexts of one anchor side by side
-            keys = list(index)
-            flat = np.repeat(np.r_[0, np.cumsum(some)][several] - np.r_[0, np.cumsum(some[several])[:-1]], some[several]) + np.arange(some[several].sum())
-            answer[flat] = owners_of([keys[k] for k in several.tolist()], some[several], owner[several], tag[several])
-        at = np.r_[0, np.cumsum(some)]
-        back = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            values = np.concatenate([answer[at[k] : at[k + 1]] for k in to[a:b].tolist()])
-            change = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-            back.append((np.diff(np.r_[change, len(values)]).astype("<u4").tobytes(), values[change].astype("<i8").tobytes()))
-        return pa.table({"block": shard["block"], "shard": shard["shard"], "runs": pa.array([x for x, _ in back], pa.binary()), "owners": pa.array([x for _, x in back], pa.binary())})
+            return _SENT.empty_table()
+        number, own = block["_block"][0].as_py(), _Block(ordered(block))
+        held, rows = _Contexts(own, classes_for(own.hashes, answers, buckets), shards), []
+        for s, k in held.dealt():
+            rows.append((s, number, _bytes_of(own.data, held.sent_first[k], held.sent_n[k]), held.sent_n[k].astype("u1").tobytes(), held.sent_least[k].astype("<i8").tobytes(), (held.tags[k] >> U(32)).astype("<u4").tobytes()))
+        return pa.table(list(zip(*rows, strict=True)), schema=_SENT) if rows else _SENT.empty_table()
 
     def mark(block: pa.Table, answers: pa.Table) -> pa.Table:
-        kept = ordered(block)
-        held = _Block(block)
-        found = {k: (r, o) for k, r, o in zip(*(answers[x].to_pylist() for x in ("bucket", "runs", "owners")), strict=True)}
-        classes = classes_for(held.hashes, answers.filter(answers["classes"].is_valid()), buckets)
-        texts, counts, _, _, where, uses = _grouped(held, classes, shards)
-        at = np.r_[0, np.cumsum(counts)]
-        owner = np.zeros(int(at[-1]), np.int64)
-        for s in np.unique(where).tolist():
-            k = np.flatnonzero(where == s)
-            flat = np.repeat(at[k] - np.r_[0, np.cumsum(counts[k])[:-1]], counts[k]) + np.arange(counts[k].sum())
-            runs, values = found[s + OWNERS]
-            owner[flat] = np.repeat(np.frombuffer(values, "<i8"), np.frombuffer(runs, "<u4"))
-        # every window of a use at once: its owner, its document's rank, and where it begins in the block
-        base = np.r_[0, np.cumsum([len(p[0].data) for p in held.parts])]
-        k, d, part, first, n = np.array(uses, np.int64).reshape(-1, 5).T
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        gone = owner[np.repeat(at[k], n) + step] < np.repeat(held.rank[d], n)
-        begun = np.zeros(int(base[-1]) + 1, np.int32)
-        begun[(np.repeat(base[part] + first, n) + step)[gone] + 1] = 1
-        begun = np.cumsum(begun)
-        covered = begun[1:].copy()
-        covered[LENGTH:] -= begun[1:-LENGTH]
-        masks = []
-        for p, start in zip(held.parts, base[:-1].tolist(), strict=True):
-            edges = (p[0].bounds + start).tolist()
-            masks += [covered[x:y] > 0 for x, y in zip(edges[:-1], edges[1:], strict=True)]
-        return output(kept, masks)
+        block = ordered(block)
+        own = _Block(block)
+        known = answers["classes"].is_valid()
+        held = _Contexts(own, classes_for(own.hashes, answers.filter(known), buckets), shards)
+        answers = answers.filter(pc.invert(known))
+        found = {s - OWNERS: (r, o) for s, r, o in zip(*(answers[x].to_pylist() for x in ("bucket", "runs", "owners")), strict=True)}
+        owner = np.empty(int(held.sent_n.sum()), np.int64)
+        at = np.cumsum(held.sent_n) - held.sent_n
+        for s, k in held.dealt():
+            times, values = found[s]
+            owner[runs(at[k], held.sent_n[k])] = np.repeat(np.frombuffer(values, "<i8"), np.frombuffer(times, "<u4"))
+        spans, sizes = _gone(own, held, owner), np.diff(own.bounds)
+        # a copy of a smaller doc_id's text goes whole
+        whole = [np.array([[0, n]]) if n >= LENGTH else np.zeros((0, 2), np.int64) for n in sizes.tolist()]
+        copies = own.rank > own.least[own.code]
+        return output(block, [whole[c] if copy else spans[c] for c, copy in zip(own.code.tolist(), copies.tolist(), strict=True)])
 
     answers = shared_classes(blocks, hashes_of, buckets)
-    sent = blocks.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(send, "shard int, block int, texts binary, lengths binary, counts binary, least binary, tags binary")
-    owned = sent.groupBy("shard").applyInArrow(own, "block int, shard int, runs binary, owners binary")
+    sent = blocks.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(send, "shard int, block int, texts binary, counts binary, least binary, tags binary")
+    owned = sent.groupBy("shard").applyInArrow(_owned, "block int, shard int, runs binary, owners binary")
     nothing = F.lit(None).cast("binary")
     both = answers.select("block", "bucket", "classes", nothing.alias("runs"), nothing.alias("owners")).union(owned.select("block", (F.col("shard") + OWNERS).alias("bucket"), nothing.alias("classes"), "runs", "owners"))
     return blocks.groupBy("_block").cogroup(both.groupBy("block")).applyInArrow(mark, outputs)
@@ -419,25 +479,23 @@ def removed_bytes(docs: DataFrame, size: int, outputs: str | T.StructType, outpu
 OWNERS = 1 << 30
 
 
-def _pieces(text: bytes, gone: np.ndarray) -> tuple[bytes, int, int]:
-    """Kept bytes, bytes removed, maximal removed runs."""
-    if not gone.any():
-        return text, 0, 0
-    kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-    return kept, int(gone.sum()), int(np.count_nonzero(gone & ~np.r_[False, gone[:-1]]))
+def _kept(text: bytes, spans: np.ndarray) -> bytes:
+    if not len(spans):
+        return text
+    edges = [0, *spans.ravel().tolist(), len(text)]
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
 def op2_suffix_dedup(spark, sf_dir) -> DataFrame:
     """Remove repeated 50-byte strings from all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
+    kind = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
-    def digest(block: pa.Table, masks: list[np.ndarray]) -> pa.Table:
+    def digest(block: pa.Table, spans: list[np.ndarray]) -> pa.Table:
         rows = []
-        for key, text, gone in zip(block["doc_id"].to_pylist(), block["_text"].to_pylist(), masks, strict=True):
-            data = text.encode()
-            kept, n, runs = _pieces(data, gone)
-            rows.append({"doc_id": key, "n_bytes": len(data), "n_removed": n, "n_spans": runs, "kept_sha256": hashlib.sha256(kept).hexdigest()})
-        return pa.Table.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
+        for key, text, gone in zip(block["doc_id"].to_pylist(), block["_text"].cast(pa.binary()).to_pylist(), spans, strict=True):
+            rows.append((key, len(text), int((gone[:, 1] - gone[:, 0]).sum()), len(gone), hashlib.sha256(_kept(text, gone)).hexdigest()))
+        return pa.table(list(zip(*rows, strict=True)), schema=kind)
 
     return removed_bytes(docs, text_bytes(docs.withColumnRenamed("_text", "text"))[1], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", digest)
 
@@ -452,12 +510,11 @@ def deduplicated(docs: DataFrame, text: str = "text", length: str | None = "n_ch
     rows = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("_text"), packed_row(docs, *rest, none=docs[text].isNull()).alias("_rest"))
     kind = T.StructType([T.StructField("_new", T.StringType()), T.StructField("_left", T.BooleanType()), rows.schema["_rest"]])
 
-    def cut(block: pa.Table, masks: list[np.ndarray]) -> pa.Table:
+    def cut(block: pa.Table, spans: list[np.ndarray]) -> pa.Table:
         new, left = [], []
-        for old, gone in zip(block["_text"].to_pylist(), masks, strict=True):
-            kept, n, _ = _pieces(old.encode(), gone)
-            new.append(kept.decode(errors="ignore") if n else old)
-            left.append(not n or bool(new[-1]))
+        for old, gone in zip(block["_text"].cast(pa.binary()).to_pylist(), spans, strict=True):
+            new.append(_kept(old, gone).decode(errors="ignore"))
+            left.append(not len(gone) or bool(new[-1]))
         return pa.table({"_new": pa.array(new, pa.string()), "_left": pa.array(left), "_rest": block["_rest"]})
 
     size = text_bytes(rows.select(F.col("_text").alias("text")))[1]

@@ -111,10 +111,10 @@ def test_suffix_dedup(spark, docs, rows, monkeypatch, frequent, shard):
     monkeypatch.setattr(suffix_dedup, "BUCKET_TEXT", 4000)
     monkeypatch.setattr("orvane.llm.shared.BLOCK_BYTES", 9000)
 
-    def digest(block, masks):
+    def digest(block, spans):
         import pyarrow as pa
 
-        return pa.table({"doc_id": block["doc_id"], "text": block["_text"], "gone": pa.array([m.nonzero()[0].tolist() for m in masks], pa.list_(pa.int64()))})
+        return pa.table({"doc_id": block["doc_id"], "text": block["_text"], "gone": pa.array([[x for a, b in s.tolist() for x in range(a, b)] for s in spans], pa.list_(pa.int64()))})
 
     got = suffix_dedup.removed_bytes(as_text(docs), size(docs), "doc_id long, text string, gone array<long>", digest).collect()
     order = lambda i: -(10**9) if i is None else i
