@@ -1,34 +1,33 @@
 """Lexical retrieval packing: windows are filled with a seed's nearest documents.
 
 Documents are tokenized once; full windows of a long document are sequences of
-their own.  What remains of each document (less than a window) goes to an index
-of all remainders, kept as block files in the shared folder.  Many chains of
-windows grow side by side: in each round the seed of every open window is
-scored by BM25, with document frequencies of ids over all documents, against
-all unused remainders of all blocks, and the proposals are granted from the
-highest score down.  A window that is not full asks again in the next round.
-A remainder that does not fit is cut, and what is left of it is the chain's next
-seed.  When no remainder is unused, the emptier half of the open windows is
-dissolved and dealt to the others; the last :data:`SHARD` remainders are packed
-in one chain, so only one window is padded, and not if its length is a power of
-two.
-
-The search is exact, so its work grows with the square of the remainders.  The
-driver holds some tens of bytes for each remainder (its number, length and
-whether it is used), and a round's proposals.
-
-The vocabulary is the tokenizer's, so the table of document frequencies that
-every task gets has a fixed size (one number for each id).
+their own.  What remains of each document (less than a window) is placed by its
+content: by the nearest of some centres of weighted ids, and in that by its two
+most telling ids (a min-hash that favours rare ones), so that copies and near
+copies lie side by side whatever their language, source or key.  That order is
+cut to ranges and these to shards of :data:`SHARD` remainders.
+
+Each shard has an inverted index of its remainders, scored by BM25 with document
+frequencies of ids over all documents.  A seed gets its nearest unused
+remainders of the shard until its window is full.  One that does not fit is cut,
+and what is left of it is the next seed.  A window that is not full when all of a
+shard are used goes on in the next shard, so that only one window of a range is
+padded, and not if its length is a power of two.
+
+Work and memory grow in proportion to the remainders, and the driver holds none
+of them.  The price: a neighbour in another shard is not found.  The centres are
+fitted on about :data:`SAMPLE` remainders, chosen by hash; all else (frequencies,
+placing, search, packing) covers every document.  The vocabulary is the
+tokenizer's, so the table of document frequencies that every task gets has a
+fixed size (one number for each id).
 
 Nulls and odd input: a null or empty text has the end id alone; repeated rows
-are packed each; rows with equal keys are ordered by their text's ids; an empty
-table gives an empty result; further columns are ignored.
+are packed each; rows with equal keys are ordered by a hash of key and text; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import io
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -37,45 +36,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_system, new_folder, shuffle_tasks, small_batches, table, written
+from .common import lean_batches, shuffle_tasks, small_batches, table, written
 from .tokens import default_tokenizer, encoder
 
 WINDOW = 1024
-#: So few remainders are packed in one chain, in one task.
-SHARD = 384
-#: Remainders in a block of the index, seeds of a task, and seeds that it scores at once.
-BLOCK, SEEDS, AT_ONCE = 4096, 1024, 128
-#: Remainders for each chain at the start.
-CHAIN = 8
-#: Proposals of a seed in the first round; more where few are granted.
-PROPOSALS = 8
-#: The most frequent ids, whose share of a score is a matrix product.
-HEAD = 512
+#: Remainders of a shard, and shards of a range at least (where there are more ranges than tasks).
+SHARD, SHARDS = 2048, 8
+#: The most frequent ids of a shard, whose share of a score is a matrix product.
+HEAD = 1024
+#: Seeds that are scored at once, and neighbours that are sorted of each (all others only where these are used).
+SEEDS, NEAR = 128, 32
+#: Centres, their dimensions, and remainders on which they are fitted.
+CENTRES, DIMENSIONS, SAMPLE = 64, 256, 4096
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _KINDS = pa.schema([(x.split()[0], pa.int64()) for x in PIECES.split(", ")])
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int, locality: tuple[str, ...]) -> DataFrame:
-    """(doc_id, n, ids little-endian unsigned 16 or 32 bits, locality) written to the shared folder."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    place = F.concat_ws("\x01", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in locality)) if locality else F.lit("")
-    rows = docs.select("doc_id", place.alias("place"), F.coalesce("text", F.lit("")).alias("text"))
+def _ids(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
+
+
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """(doc_id, n, crcs of the full windows, ids of the remainder, mix) written to the shared folder.
+
+    Each task adds a row without ``n`` that counts in how many of its
+    documents each id occurs.
+    """
+    small_batches(docs.sparkSession)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("mix"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        end = np.array([end_id], encode.dtype).tobytes()
+        total = np.zeros(encode.library.get_vocab_size(), np.int64)
+        end, names = np.array([end_id], encode.dtype).tobytes(), ["doc_id", "n", "crcs", "tail", "mix", "df"]
         for batch in batches:
-            ids = [encode.encode(t) + end for t in batch["text"].to_pylist()]
-            n = [len(x) // encode.dtype.itemsize for x in ids]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["place"], pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "place", "n", "ids"])
-
-    return written(rows.mapInArrow(run, "doc_id long, place string, n long, ids binary"), "ids")
-
+            sizes, crcs, tails = [], [], []
+            for text in batch["text"].to_pylist():
+                ids = np.frombuffer(encode.encode(text) + end, encode.dtype)
+                total[np.unique(ids)] += 1
+                whole = len(ids) // WINDOW * WINDOW
+                crcs.append([zlib.crc32(ids[a : a + WINDOW].astype("<u4")) for a in range(0, whole, WINDOW)])
+                sizes.append(len(ids))
+                tails.append(ids[whole:].tobytes())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary()), batch["mix"], pa.nulls(len(sizes), pa.binary())], names=names)
+        seen = np.flatnonzero(total)
+        df = np.stack([seen, total[seen]]).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((None, pa.int64()), (None, pa.int64()), (None, pa.list_(pa.int64())), (None, pa.binary()), (None, pa.int64()), (df, pa.binary()))], names=names)
 
-def _ids(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
+    return written(rows.mapInArrow(lean_batches(run), "doc_id long, n long, crcs array<long>, tail binary, mix long, df binary"), "ids")
 
 
 def document_frequencies(ids: DataFrame, vocabulary: int) -> tuple[np.ndarray, int, int]:
@@ -84,340 +94,214 @@ def document_frequencies(ids: DataFrame, vocabulary: int) -> tuple[np.ndarray, i
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for data, n in zip(batch["ids"].to_pylist(), batch["n"].to_pylist(), strict=True):
-                total[np.unique(_ids(data, n))] += 1
+            for data in batch["df"].to_pylist():
+                seen, n = np.frombuffer(data, "<i8").reshape(2, -1)
+                total[seen] += n
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "df"])
 
     out = np.zeros(vocabulary, np.int64)
-    for r in ids.select("ids", "n").mapInArrow(count, "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).toLocalIterator():
+    for r in ids.where("df is not null").select("df").mapInArrow(count, "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).toLocalIterator():
         out[r["id"]] = r["df"]
-    sums = ids.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("ids")).first()
+    sums = ids.agg(F.count("n").alias("n"), F.sum("n").alias("ids")).first()
     return out, sums["n"], sums["ids"] or 0
 
 
+class Weights:
+    """BM25 weights of ids, from frequencies over all documents; also what places a remainder."""
+
+    def __init__(self, df: np.ndarray, n_docs: int, n_ids: int):
+        self.idf = np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
+        self.mean = max(1e-9, min(WINDOW, n_ids / max(n_docs, 1)))
+        r = np.random.default_rng(20250101)
+        self.dimension = r.integers(0, DIMENSIONS, len(df))
+        self.sign = r.choice(np.array([-1, 1], np.float32), len(df))
+        # the least of these picks an id, in proportion to its squared weight
+        self.order = r.exponential(size=len(df)) / np.maximum(self.idf.astype(np.float64), 1e-6) ** 2
+
+    def entries(self, tails: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(remainder, id, weight) for each distinct id of each remainder, by remainder and id."""
+        lengths = np.array([len(t) for t in tails], np.int64)
+        key = np.repeat(np.arange(len(tails)) * len(self.idf), lengths)
+        key += np.concatenate([np.zeros(0, np.int64), *tails]).astype(np.int64)
+        key.sort()
+        first = np.flatnonzero(np.r_[len(key) > 0, key[1:] != key[:-1]])
+        tf = np.diff(np.r_[first, len(key)]).astype(np.float32)
+        owner, term = np.divmod(key[first], len(self.idf))
+        norm = (K1 * (1 - B + B * lengths / self.mean)).astype(np.float32)
+        return owner, term, self.idf[term] * tf * np.float32(K1 + 1) / (tf + norm[owner])
+
+    def vectors(self, n: int, owner: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Unit vectors of remainders: their weights, folded at random."""
+        out = np.bincount(owner * DIMENSIONS + self.dimension[term], weight * self.sign[term], n * DIMENSIONS).reshape(n, DIMENSIONS)
+        return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+    def places(self, tails: list[np.ndarray], centres: np.ndarray) -> np.ndarray:
+        """A number for each remainder: nearest centre, then its two most telling ids."""
+        owner, term, weight = self.entries(tails)
+        centre = np.argmax(self.vectors(len(tails), owner, term, weight) @ centres.T, axis=1)
+        by = np.lexsort((self.order[term], owner))
+        at = np.searchsorted(owner, np.arange(len(tails)))
+        last = np.searchsorted(owner, np.arange(len(tails)), "right") - 1
+        return centre << 42 | term[by[at]] << 21 | term[by[np.minimum(at + 1, last)]]
+
+
+def centres_of(tails: list[np.ndarray], weights: Weights, rounds: int = 8) -> np.ndarray:
+    """Centres of a sample by spherical k-means."""
+    x = weights.vectors(len(tails), *weights.entries(tails))
+    centres = x[np.linspace(0, len(x) - 1, min(CENTRES, len(x))).astype(int)]
+    for _ in range(rounds):
+        own = np.argmax(x @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 0, sums / np.maximum(size, 1e-9), centres)
+    return centres
+
+
 class Shard:
-    """Inverted index of few remainders, and their packing in one chain."""
-
-    def __init__(self, rows: list[tuple[int, int, int, np.ndarray]], idf: np.ndarray, mean: float):
-        self.rows = rows  # (doc_id, start, tokens of the document, ids)
-        lengths = np.array([len(r[3]) for r in rows])
-        owner = np.repeat(np.arange(len(rows)), lengths)
-        key = np.concatenate([r[3] for r in rows]).astype(np.int64) * len(rows) + owner
-        key, tf = np.unique(key, return_counts=True)
-        term, doc = key // len(rows), key % len(rows)
-        norm = K1 * (1 - B + B * lengths[doc] / max(mean, 1e-9))
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + norm)
-        self.doc, self.term = doc, term
-        self.terms, self.at = np.unique(term, return_index=True)
-        self.ends = np.r_[self.at[1:], len(term)]
-
-    def scores(self, ids: np.ndarray) -> np.ndarray:
-        """BM25 of every remainder for the distinct ids of a seed, from their posting lists."""
-        where = np.searchsorted(self.terms, np.unique(ids))
-        a, b = self.at[where], self.ends[where]
-        n = b - a
-        rows = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        return np.bincount(self.doc[rows], self.weight[rows], len(self.rows))
-
-    def packed(self) -> Iterator[list[tuple[int, int, int, int]]]:
-        """Sequences as lists of (row, first id in the remainder, length)."""
-        used = np.zeros(len(self.rows), bool)
+    """Inverted index of some remainders, and their packing in one chain."""
+
+    def __init__(self, tails: list[np.ndarray], weights: Weights):
+        self.lengths, n = [len(t) for t in tails], len(tails)
+        owner, term, weight = weights.entries(tails)
+        names, term, df = np.unique(term, return_inverse=True, return_counts=True)
+        slot = np.full(len(names), -1, np.int32)  # the column of an id that is frequent here
+        slot[np.argsort(-df, kind="stable")[:HEAD]] = np.arange(min(HEAD, len(names)))
+        slot = slot[term]
+        often = slot >= 0
+        self.dense = np.zeros((n, min(HEAD, len(names))), np.float32)
+        self.dense[owner[often], slot[often]] = weight[often]
+        # posting lists of the other ids
+        owner, term, weight = owner[~often], term[~often], weight[~often]
+        order = np.argsort(term, kind="stable")
+        self.owner, self.weight, term_order = owner[order], weight[order], term[order]
+        self.at = np.searchsorted(owner, np.arange(n + 1))  # a remainder's ids
+        self.a = np.searchsorted(term_order, term)
+        self.n = np.searchsorted(term_order, term, "right") - self.a
+        # of equal scores (copies) each seed prefers those that follow it
+        ring = 1 - np.float32(1e-5) * np.arange(n, dtype=np.float32) / max(n, 1)
+        self.ring = np.lib.stride_tricks.sliding_window_view(np.r_[ring, ring], n)[n:0:-1] if n else np.zeros((0, 0), np.float32)
+
+    def scores(self, lo: int, hi: int) -> np.ndarray:
+        """BM25 of every remainder for the distinct ids of the seeds from ``lo`` to ``hi``."""
+        n, m = len(self.lengths), hi - lo
+        out = (self.dense[lo:hi] > 0).astype(np.float32) @ self.dense.T
+        x, y = self.at[lo], self.at[hi]
+        a, size = self.a[x:y], self.n[x:y]
+        if y > x:
+            hits = np.repeat(a - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum()))
+            seed = np.repeat(np.repeat(np.arange(m), np.diff(self.at[lo : hi + 1])), size)
+            out += np.bincount(seed * n + self.owner[hits], self.weight[hits], m * n).reshape(m, n).astype(np.float32)
+        out *= self.ring[lo:hi]
+        out[np.arange(m), np.arange(lo, hi)] = -1
+        return out
+
+    def nearest(self) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest remainders of each, best first, and all scores."""
+        n = len(self.lengths)
+        k, scores = min(NEAR, n - 1), np.empty((n, n), np.float32)
+        found = np.zeros((n, max(k, 0)), np.int64)
+        for lo in range(0, n, SEEDS):
+            hi = min(lo + SEEDS, n)
+            own = scores[lo:hi] = self.scores(lo, hi)
+            if k > 0:
+                top = np.argpartition(own, n - k, axis=1)[:, n - k :]
+                found[lo:hi] = np.take_along_axis(top, np.argsort(-np.take_along_axis(own, top, 1), axis=1, kind="stable"), 1)
+        return found, scores
+
+    def packed(self) -> Iterator[list[tuple[int, int, int]]]:
+        """Sequences as lists of (remainder, its first id, length); only the last one may be short."""
+        near, scores = self.nearest()
+        near, used = near.tolist(), np.zeros(len(self.lengths), bool)
         left: tuple[int, int] | None = None  # a cut remainder and what is used of it
-        seed = 0
+        unused, seed = len(used), 0
         while True:
             if left is None:
-                while seed < len(self.rows) and used[seed]:
+                while seed < len(used) and used[seed]:
                     seed += 1
-                if seed == len(self.rows):
+                if seed == len(used):
                     return
-                left, used[seed] = (seed, 0), True
+                left, used[seed], unused = (seed, 0), True, unused - 1
             row, at = left
-            ids = self.rows[row][3]
-            window, room, left = [(row, at, len(ids) - at)], WINDOW - (len(ids) - at), None
-            if room and not used.all():
-                score = self.scores(ids)
-                score[used] = -1
-                for k in np.argsort(-score, kind="stable"):
-                    if used[k]:
-                        break
-                    used[k] = True
-                    n = len(self.rows[k][3])
-                    window.append((int(k), 0, min(n, room)))
-                    if n > room:
-                        left = (int(k), room)
-                    room -= min(n, room)
+            window, room, left = [(row, at, self.lengths[row] - at)], WINDOW - (self.lengths[row] - at), None
+            known = near[row]
+            for again in (False, True):
+                if again and room and unused:  # all that are known are used: the others in order
+                    free = np.flatnonzero(~used)
+                    known = free[np.argsort(-scores[row][free], kind="stable")].tolist()
+                for k in known:
                     if not room:
                         break
+                    if not used[k] and k != row:
+                        used[k], unused = True, unused - 1
+                        n = min(self.lengths[k], room)
+                        window.append((k, 0, n))
+                        if n < self.lengths[k]:
+                            left = (k, n)
+                        room -= n
             yield window
 
 
-def _put(path: str, **arrays: np.ndarray) -> None:
-    fs, at = file_system(path)
-    held = io.BytesIO()
-    np.savez(held, **arrays)
-    with fs.open_output_stream(at) as f:
-        f.write(held.getbuffer())
-
-
-def _got(path: str) -> dict[str, np.ndarray]:
-    fs, at = file_system(path)
-    with fs.open_input_stream(at) as f, np.load(io.BytesIO(f.read())) as z:
-        return {k: z[k] for k in z.files}
-
-
-class Index:
-    """Block files of all remainders: for each its distinct ids and their BM25 weights."""
-
-    def __init__(self, tails: DataFrame, idf: np.ndarray, df: np.ndarray, mean: float):
-        self.folder = new_folder(tails.sparkSession, "index")
-        fs, at = file_system(self.folder)
-        fs.create_dir(at, recursive=True)
-        self.slot = np.full(len(df), -1, np.int32)  # the column of a frequent id
-        self.slot[np.argsort(-df, kind="stable")[:HEAD]] = np.arange(min(HEAD, len(df)))
-        folder = self.folder
-
-        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = []
-
-            def block() -> pa.RecordBatch:
-                terms, weights, ends = [], [], [0]
-                for _, ids in held:
-                    term, tf = np.unique(ids, return_counts=True)
-                    norm = K1 * (1 - B + B * len(ids) / max(mean, 1e-9))
-                    terms.append(term.astype(np.int32))
-                    weights.append((idf[term] * tf * (K1 + 1) / (tf + norm)).astype(np.float32))
-                    ends.append(ends[-1] + len(term))
-                path = f"{folder}/{uuid.uuid4().hex}"
-                _put(path, term=np.concatenate(terms), weight=np.concatenate(weights), ends=np.array(ends))
-                rids, lengths = np.array([r for r, _ in held], np.int64), np.array([len(x) for _, x in held], np.int32)
-                held.clear()
-                return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([rids.tobytes()]), pa.array([lengths.tobytes()])], names=["path", "rids", "lengths"])
-
-            for batch in batches:
-                for rid, start, n, data in zip(*(batch[c].to_pylist() for c in ("rid", "start", "n", "tail")), strict=True):
-                    held.append((rid, _ids(data, n - start)))
-                    if len(held) == BLOCK:
-                        yield block()
-            if held:
-                yield block()
-
-        found = tails.select("rid", "start", "n", "tail").mapInArrow(blocks, "path string, rids binary, lengths binary").collect()
-        self.paths = [r["path"] for r in found]
-        self.rids = np.concatenate([np.frombuffer(r["rids"], np.int64) for r in found])
-        self.lengths = np.concatenate([np.frombuffer(r["lengths"], np.int32) for r in found])
-        self.ends = np.cumsum([0] + [len(r["rids"]) // 8 for r in found])
-
-    def nearest(self, spark, seeds: np.ndarray, used: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The k best unused remainders of all blocks for each seed: seeds, remainders, scores."""
-        state = f"{self.folder}/{uuid.uuid4().hex}"
-        _put(state, used=used)
-        seeds = np.sort(seeds)
-        size = max(1, min(SEEDS, -(-len(seeds) // (2 * spark.sparkContext.defaultParallelism))))
-        chunks = [(seeds[a : a + size].astype(np.int64).tobytes(),) for a in range(0, len(seeds), size)]
-        paths, ends, slot = self.paths, self.ends, self.slot
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            free = ~_got(state)["used"]
-            for batch in batches:
-                for data in batch["seeds"].to_pylist():
-                    own = np.frombuffer(data, np.int64)
-                    best, which = _scored(own, free, paths, ends, slot, k)
-                    row, col = np.nonzero(which >= 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(which[row, col]), pa.array(best[row, col])], names=["seed", "row", "score"])
-
-        jobs = spark.createDataFrame(spark.sparkContext.parallelize(chunks, len(chunks)), "seeds binary")
-        out = jobs.mapInArrow(score, "seed long, row long, score float").toArrow()
-        return tuple(out[c].to_numpy() for c in ("seed", "row", "score"))
-
-
-def _runs(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The numbers of runs that begin at ``starts`` and are ``n`` long."""
-    return np.repeat(starts - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-
-
-def _scored(seeds: np.ndarray, free: np.ndarray, paths: list[str], ends: np.ndarray, slot: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and rows of the k best free remainders for each of some seeds (ascending); -1 where there are fewer."""
-    head = int(slot.max()) + 1
-    query, rare_seed, rare_term = np.zeros((len(seeds), head), np.float32), [], []
-    place = np.searchsorted(ends, seeds, "right") - 1
-    for b in np.unique(place):
-        block, own = _got(paths[b]), np.flatnonzero(place == b)
-        a, z = block["ends"][seeds[own] - ends[b]], block["ends"][seeds[own] - ends[b] + 1]
-        term, owner = block["term"][_runs(a, z - a)], np.repeat(own, z - a)
-        often = slot[term] >= 0
-        query[owner[often], slot[term[often]]] = 1
-        rare_seed.append(owner[~often])
-        rare_term.append(term[~often])
-    rare_seed, rare_term = np.concatenate(rare_seed), np.concatenate(rare_term)
-    best, which = np.full((len(seeds), k), -np.inf, np.float32), np.full((len(seeds), k), -1, np.int64)
-    for b, path in enumerate(paths):
-        rows = np.flatnonzero(free[ends[b] : ends[b + 1]])
-        if not len(rows):
-            continue
-        block = _got(path)
-        a, z = block["ends"][rows], block["ends"][rows + 1]
-        at, owner = _runs(a, z - a), np.repeat(np.arange(len(rows)), z - a)
-        term, weight = block["term"][at], block["weight"][at]
-        often = slot[term] >= 0
-        dense = np.zeros((len(rows), head), np.float32)
-        dense[owner[often], slot[term[often]]] = weight[often]
-        order = np.argsort(term[~often], kind="stable")
-        term, weight, owner = term[~often][order], weight[~often][order], owner[~often][order]
-        # equal scores (copies) are ordered otherwise for each seed, else all seeds would ask for the same few
-        mix = 1 + np.float32(2e-6) * np.random.default_rng(b).random(2 * len(rows), np.float32)
-        mix = np.lib.stride_tricks.sliding_window_view(mix, len(rows))
-        for lo in range(0, len(seeds), AT_ONCE):
-            part = slice(lo, lo + AT_ONCE)
-            score = query[part] @ dense.T
-            r = slice(*np.searchsorted(rare_seed, [lo, lo + AT_ONCE]))
-            x, y = np.searchsorted(term, rare_term[r], "left"), np.searchsorted(term, rare_term[r], "right")
-            hits = _runs(x, y - x)
-            np.add.at(score.reshape(-1), np.repeat(rare_seed[r] - lo, y - x) * len(rows) + owner[hits], weight[hits])
-            score *= mix[seeds[part] * 7919 % len(rows)]
-            if len(rows) > k:
-                top = np.argpartition(score, len(rows) - k, axis=1)[:, len(rows) - k :]
-            else:
-                top = np.broadcast_to(np.arange(len(rows)), score.shape)
-            both = np.concatenate([best[part], np.take_along_axis(score, top, 1)], axis=1)
-            names = np.concatenate([which[part], rows[top] + ends[b]], axis=1)
-            keep = np.argsort(-both, axis=1, kind="stable")[:, :k]
-            best[part], which[part] = np.take_along_axis(both, keep, 1), np.take_along_axis(names, keep, 1)
-    return best, which
-
-
-def _grown(spark, index: Index, put) -> list[tuple[int, int]]:
-    """Grow the chains; ``put`` gets each full window as a list of (row, first id, length).  Returns the last (row, first id), not packed yet."""
-    lengths, n = index.lengths, len(index.lengths)
-    used, first = np.zeros(n, bool), np.zeros(n, np.int32)  # first: what is used of a cut remainder
-    unused, k, chains = n, PROPOSALS, max(1, n // CHAIN)
-    windows: dict[int, list] = {}  # seed -> [room, pieces]
-
-    def opened(row: int) -> None:
-        nonlocal unused
-        unused -= not used[row]
-        used[row] = True
-        windows[row] = [WINDOW - int(lengths[row] - first[row]), [(row, int(first[row]), int(lengths[row] - first[row]))]]
-
-    while unused + sum(len(w[1]) for w in windows.values()) > SHARD:
-        if not unused:  # the emptier half goes to the others
-            if len(windows) == 1:
-                break
-            chains = len(windows) // 2
-            for row in sorted(windows, key=lambda r: (-windows[r][0], r))[: -(-len(windows) // 2)]:
-                for piece, at, _ in windows.pop(row)[1]:
-                    used[piece], first[piece], unused = False, at, unused + 1
-        want = max(1, min(chains, unused // 2)) - len(windows)
-        if want > 0:
-            free = np.flatnonzero(~used)
-            for row in free[:: max(1, len(free) // want)][:want].tolist():
-                opened(row)
-        seed, row, score = index.nearest(spark, np.fromiter(windows, np.int64), used, k)
-        order = np.lexsort((row, seed, -score))
-        before = unused
-        for s, r in zip(seed[order].tolist(), row[order].tolist(), strict=True):
-            if used[r] or s not in windows:
-                continue
-            used[r], unused = True, unused - 1
-            w, at, length = windows[s], int(first[r]), int(lengths[r] - first[r])
-            fits = min(length, w[0])
-            w[1].append((r, at, fits))
-            w[0] -= fits
-            if not w[0]:
-                put(w[1])
-                del windows[s]
-                if fits < length:
-                    first[r] = at + fits
-                    opened(r)
-        k = min(256, 2 * k) if before - unused < len(windows) // 4 else k
-    return [(r, int(first[r])) for r in np.flatnonzero(~used)] + [(r, at) for w in windows.values() for r, at, _ in w[1]]
-
-
-def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, locality: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """One row for each piece of each document of (doc_id, text, locality columns)."""
+def packed(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+    """One row for each piece of each document of (doc_id, text)."""
     spark = docs.sparkSession
-    ids = tokenized(docs, tokenizer, end_id, locality)
+    ids = tokenized(docs, tokenizer, end_id)
     from tokenizers import Tokenizer
 
     df, n_docs, n_ids = document_frequencies(ids, Tokenizer.from_file(tokenizer).get_vocab_size())
-    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float64)
-    mean = min(WINDOW, n_ids / max(n_docs, 1))
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    weights = Weights(df, n_docs, n_ids)
+    tails = ids.where(F.col("n") % WINDOW > 0).select("doc_id", "n", "tail", "mix")
+    # a full window is a sequence with an even number, the others have odd ones
+    whole = ids.where(F.col("n") >= WINDOW).select("doc_id", "n", F.posexplode("crcs").alias("at", "crc"))
+    whole = whole.select("doc_id", (F.col("at") * WINDOW).cast("long").alias("start"), F.lit(WINDOW).cast("long").alias("length"), F.col("crc").alias("ids_crc32"), F.col("n").alias("doc_tokens"), (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    sample = tails.where(F.pmod("mix", F.lit(max(1, n_docs // SAMPLE))) == 0).limit(2 * SAMPLE).select("n", "tail").collect()
+    sample = sample or tails.limit(1).select("n", "tail").collect()
+    if not sample:
+        return whole
+    centres = centres_of([_ids(bytes(r["tail"]), r["n"] % WINDOW) for r in sample], weights)
 
-        part, made = TaskContext.get().partitionId(), 0
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, data, n in zip(batch["doc_id"].to_pylist(), batch["ids"].to_pylist(), batch["n"].to_pylist(), strict=True):
-                if n >= WINDOW:
-                    wide = _ids(data, n).astype("<u4")
-                    for a in range(0, n - WINDOW + 1, WINDOW):
-                        rows.append((key, a, WINDOW, zlib.crc32(wide[a : a + WINDOW]), n, (part << 32 | made) << 1, 0))
-                        made += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 7)], schema=_KINDS)
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = [_ids(data, n % WINDOW) for data, n in zip(batch["tail"].to_pylist(), batch["n"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weights.places(own, centres) if own else [], pa.int64())], names=[*batch.schema.names, "place"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        at = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + batch.num_rows), pa.int64()), *batch.columns], names=["rid", *batch.schema.names])
-            at += batch.num_rows
+        part, made, held = TaskContext.get().partitionId(), 0, []  # held: (doc_id, tokens of the document, first id, ids)
+
+        def pieces(last: bool) -> pa.RecordBatch:
+            nonlocal made, held
+            shard, rest, out = held, [], []
+            for window in Shard([r[3] for r in shard], weights).packed():
+                if not last and sum(n for _, _, n in window) < WINDOW:  # it goes on in the next shard
+                    rest = [(*shard[k][:2], shard[k][2] + at, shard[k][3][at : at + n]) for k, at, n in window]
+                    continue
+                offset = 0
+                for k, at, n in window:
+                    key, tokens, start, own = shard[k]
+                    out.append((key, start + at, n, zlib.crc32(own[at : at + n].astype("<u4")), tokens, (part << 32 | made) << 1 | 1, offset))
+                    offset += n
+                made += 1
+            held = rest
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 7)], schema=_KINDS)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, start, n, data, first, length, sequence, offset in zip(*(batch[c].to_pylist() for c in ("doc_id", "start", "n", "tail", "first", "length", "sequence_id", "offset")), strict=True):
-                own = _ids(data, n - start)[first : first + length].astype("<u4")
-                rows.append((key, start + first, length, zlib.crc32(own), n, sequence, offset))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 7)], schema=_KINDS)
-
-    start = (F.col("n") - F.pmod("n", F.lit(WINDOW))).cast("long")
-    tails = ids.where(F.pmod("n", F.lit(WINDOW)) > 0).select("doc_id", "place", start.alias("start"), "n", F.expr(f"substring(ids, cast((n - n % {WINDOW}) * (length(ids) div n) + 1 as int))").alias("tail"), F.xxhash64("doc_id", "ids").alias("mix"))
-    tasks = max(1, min(-(-n_docs // BLOCK), max(shuffle_tasks(spark), n_docs // (4 * BLOCK))))
-    dealt = tails.repartitionByRange(tasks, "place", "mix").sortWithinPartitions("place", "mix", "doc_id").select("doc_id", "start", "n", "tail")
-    tails = written(dealt.mapInArrow(numbered, "rid long, doc_id long, start long, n long, tail binary"), "tails")
-    whole = ids.select("doc_id", "ids", "n").mapInArrow(full, PIECES)
-    if tails.isEmpty():
-        return whole
+            for key, n, data in zip(*(batch[c].to_pylist() for c in ("doc_id", "n", "tail")), strict=True):
+                held.append((key, n, n - n % WINDOW, _ids(data, n % WINDOW)))
+                if len(held) >= SHARD:
+                    yield pieces(False)
+        if held:
+            yield pieces(True)
 
-    index = Index(tails, idf, df, mean)
-    folder = new_folder(spark, "pieces")
-    fs, at = file_system(folder)
-    fs.create_dir(at, recursive=True)
-    names, held, made = ("rid", "first", "length", "sequence_id", "offset"), [], 0
-
-    def flush() -> None:
-        nonlocal held
-        import pyarrow.parquet as pq
-
-        pq.write_table(pa.table([pa.array(c, pa.int64()) for c in zip(*held, strict=True)], names=list(names)), f"{at}/{uuid.uuid4().hex}.parquet", filesystem=fs)
-        held = []
-
-    def put(window: list[tuple[int, int, int]]) -> None:
-        nonlocal made
-        offset = 0
-        for row, a, n in window:
-            held.append((int(index.rids[row]), a, n, made << 1 | 1, offset))
-            offset += n
-        made += 1
-        if len(held) >= 1 << 18:
-            flush()
-
-    last = {int(index.rids[r]): a for r, a in _grown(spark, index, put)}
-    if last:
-        rows = tails.where(F.col("rid").isin(list(last))).orderBy("rid").collect()
-        own = [(r["rid"], r["start"], r["n"], _ids(bytes(r["tail"]), r["n"] - r["start"])[last[r["rid"]] :]) for r in rows]
-        where = {int(index.rids[k]): int(k) for k in np.flatnonzero(np.isin(index.rids, list(last)))}
-        for window in Shard(own, idf, mean).packed():
-            put([(where[own[k][0]], last[own[k][0]] + a, n) for k, a, n in window])
-    if held:
-        flush()
-    pieces = spark.read.schema(", ".join(f"{c} long" for c in names)).parquet(folder)
-    return whole.unionByName(pieces.join(tails, "rid").drop("rid").mapInArrow(cut, PIECES))
+    # equal contents are split by their hash, so that no range has them all
+    tasks = max(1, min(shuffle_tasks(spark), n_docs // SHARD), n_docs // (SHARDS * SHARD))
+    placed_rows = tails.mapInArrow(lean_batches(placed), "doc_id long, n long, tail binary, mix long, place long")
+    dealt = placed_rows.repartitionByRange(tasks, "place", "mix").sortWithinPartitions("place", "mix", "doc_id")
+    return whole.unionByName(dealt.select("doc_id", "n", "tail").mapInArrow(lean_batches(pack), PIECES))
 
 
 def op6_retrieval_packing(spark, sf_dir) -> DataFrame:
     """Pack all documents into windows of 1024."""
-    return packed(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), default_tokenizer())
+    return packed(table(spark, sf_dir, "documents").select("doc_id", "text"), default_tokenizer())

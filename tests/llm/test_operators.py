@@ -267,7 +267,7 @@ def test_tokens_are_the_library_s(rows, monkeypatch, memo):
         assert np.frombuffer(e.encode(text), e.dtype).tolist() == e.library.encode(text, add_special_tokens=False).ids, text[:60]
 
 
-@pytest.mark.parametrize("shard", [384, 5])
+@pytest.mark.parametrize("shard", [2048, 5])
 def test_packing(docs, rows, none, monkeypatch, shard):
     monkeypatch.setattr(packing, "SHARD", shard)
     got = packing.packed(docs, default_tokenizer()).collect()
@@ -296,40 +296,53 @@ def test_packing(docs, rows, none, monkeypatch, shard):
     assert packing.packed(none, default_tokenizer()).count() == 0
 
 
-def test_packing_takes_the_nearest():
-    idf = np.ones(100)
-    rows = [(k, 0, 300, np.array(ids, "<u2")) for k, ids in enumerate([[1, 2, 3] * 100, [50, 51] * 150, [1, 2, 9] * 100, [60] * 300])]
-    first = next(packing.Shard(rows, idf, 300.0).packed())
-    assert [k for k, _, _ in first][:2] == [0, 2] and sum(n for *_, n in first) == 1024
-
-
-def test_packing_searches_all_blocks(spark, monkeypatch):
-    """Proposals over several blocks are the brute-force ones, and copies far apart in the locality order share a window."""
-    for name, value in (("SHARD", 4), ("BLOCK", 7), ("SEEDS", 3), ("AT_ONCE", 2), ("HEAD", 20)):
-        monkeypatch.setattr(packing, name, value)
+def test_packing_scores_and_takes_the_nearest(monkeypatch):
+    """Scores are BM25 by its formula, with and without a dense part; windows take the best unused in order."""
+    monkeypatch.setattr(packing, "SEEDS", 7)
+    r = np.random.default_rng(3)
+    tails = [r.zipf(1.4, int(r.integers(1, 500))).clip(0, 299).astype("<u2") for _ in range(60)]
+    df = np.bincount(np.concatenate([np.unique(t) for t in tails]), minlength=300)
+    n_ids = sum(map(len, tails))
+    idf, mean = np.log1p((60 - df + 0.5) / (df + 0.5)), n_ids / 60
+    want = np.zeros((60, 60))
+    for i, x in enumerate(tails):
+        for j, y in enumerate(tails):
+            tf = np.bincount(y, minlength=300)[np.unique(x)]
+            want[i, j] = (idf[np.unique(x)] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(y) / mean))).sum()
+    for head in (4, 1024):
+        monkeypatch.setattr(packing, "HEAD", head)
+        shard = packing.Shard(tails, packing.Weights(df, 60, n_ids))
+        got = shard.scores(0, 60)
+        off = ~np.eye(60, dtype=bool)
+        assert np.allclose(got[off], want[off], rtol=1e-4)
+        used, left = set(), None
+        windows = list(shard.packed())
+        for window in windows:
+            seed = window[0][0]
+            assert left is None or (window[0][0], window[0][1]) == left
+            used.add(seed)
+            for k, at, n in window[1:]:
+                best = max(got[seed, j] for j in range(60) if j not in used)
+                assert at == 0 and got[seed, k] == best
+                used.add(k)
+            last = window[-1]
+            left = (last[0], last[1] + last[2]) if last[1] + last[2] < len(tails[last[0]]) else None
+            assert sum(n for *_, n in window) == 1024 or window is windows[-1]
+        assert used == set(range(60))
+
+
+def test_packing_places_copies_together(spark):
+    """Copies in other languages, sources and far keys share a window; a hot text fills windows of its own."""
     r = np.random.default_rng(5)
     word = lambda: "".join(r.choice(list("abcdefgh"), 4))
     texts = [" ".join(word() for _ in range(60)) for _ in range(40)]
-    docs = spark.createDataFrame([(k, texts[k % 40], "en", f"s{k // 40}") for k in range(80)], "doc_id long, text string, lang string, source string")
-    kept, nearest = [], packing.Index.nearest
-
-    def watched(self, spark, seeds, used, k):
-        out = nearest(self, spark, seeds, used, k)
-        blocks = [packing._got(p) for p in self.paths]
-        sets = [dict(zip(b["term"][a:z].tolist(), b["weight"][a:z].tolist(), strict=True)) for b in blocks for a, z in zip(b["ends"], b["ends"][1:], strict=False)]
-        for s in seeds.tolist():
-            want = sorted((sum(w for t, w in sets[j].items() if t in sets[s]) for j in np.flatnonzero(~used)), reverse=True)[:k]
-            assert np.allclose(sorted(out[2][out[0] == s], reverse=True), want, rtol=1e-4)
-        kept.append(len(self.paths))
-        return out
-
-    monkeypatch.setattr(packing.Index, "nearest", watched)
-    by_sequence = {}
-    for p in packing.packed(docs, default_tokenizer()).collect():
-        by_sequence.setdefault(p["sequence_id"], set()).add(p["doc_id"] % 40 if p["doc_id"] is not None else None)
-        by_sequence.setdefault(("doc", p["doc_id"]), set()).add(p["sequence_id"])
-    together = sum(bool(by_sequence["doc", k] & by_sequence["doc", k + 40]) for k in range(40))
-    assert kept[0] > 3 and together >= 20
+    docs = spark.createDataFrame([(k, texts[k % 40], f"l{k % 7}", f"s{k // 40}") for k in range(80)] + [(1000 + k, texts[0], "en", "hot") for k in range(100)], "doc_id long, text string, lang string, source string")
+    of_doc = {}
+    for p in packing.packed(docs.repartition(3), default_tokenizer()).collect():
+        of_doc.setdefault(p["doc_id"], set()).add(p["sequence_id"])
+    assert sum(bool(of_doc[k] & of_doc[k + 40]) for k in range(1, 40)) >= 30
+    hot = Counter(s for k in range(100) for s in of_doc[1000 + k])
+    assert sum(n for s, n in hot.items() if n > 1) >= 90
 
 
 def test_token_files(spark, docs, rows, none, monkeypatch):
