@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_bytes, written
+from .common import lean, lean_batches, small_batches, table, text_bytes, written
 from .components import connected
 from .scan import U, chunks, grams, mixed, split_table, words
 from .shared import buckets_for, classes_for, in_blocks, ordered, shared_classes
@@ -94,7 +94,7 @@ def candidate_sets(docs: DataFrame, size: int) -> DataFrame:
         return pa.Table.from_pylist(rows, schema=pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("mix", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("group_id", pa.int64()), ("prefix", pa.list_(pa.int64())), ("shingles", pa.binary())]))
 
     answers = shared_classes(blocks, hashes_of, buckets)
-    return written(blocks.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(choose, SETS), "sets")
+    return written(blocks.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(lean(choose), SETS), "sets")
 
 
 def group_links(sets: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def verified_links(sets: DataFrame, blocks: DataFrame) -> DataFrame:
         ids = block["set_id"].to_pylist()
         return _edges([(ids[i], ids[r]) for i, r in enumerate(united(_decoded(block["shingles"])).tolist()) if i != r])
 
-    small = full.where(F.col("m") <= TILE).select("block", "set_id", "shingles").groupBy("block").applyInArrow(solve, "a long, b long")
+    small = full.where(F.col("m") <= TILE).select("block", "set_id", "shingles").groupBy("block").applyInArrow(lean(solve), "a long, b long")
     if placed.where(F.col("m") > TILE).isEmpty():
         return small
     large = written(full.where(F.col("m") > TILE).withColumn("tile", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("m") / TILE)).cast("int")), "large")
@@ -205,7 +205,7 @@ def verified_links(sets: DataFrame, blocks: DataFrame) -> DataFrame:
             assert len(pairs) == left
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
 
-    first = written(beside.select("set_id", "shingles", "mid", "mid_shingles").mapInArrow(with_middle, "a long, b long"), "first")
+    first = written(beside.select("set_id", "shingles", "mid", "mid_shingles").mapInArrow(lean_batches(with_middle), "a long, b long"), "first")
     apart = first.where("b is null").select(F.col("a").alias("set_id"))
     lone = large.join(apart, "set_id").select("block", "set_id", "shingles")
     lone = lone.join(lone.groupBy("block").agg(F.count(F.lit(1)).alias("n")), "block").withColumn("part", F.pmod(F.xxhash64("set_id", F.lit(1)), F.ceil(F.col("n") / TILE)).cast("int")).drop("n")
@@ -222,7 +222,7 @@ def verified_links(sets: DataFrame, blocks: DataFrame) -> DataFrame:
                 pairs += [(ids[k], ids[j]) for j in _joined(part, k, rest[tile.links(sets_[k])])]
         return _edges(pairs)
 
-    second = grid_x.union(grid_y).groupBy("block", "tile", "part").applyInArrow(meet, "a long, b long")
+    second = grid_x.union(grid_y).groupBy("block", "tile", "part").applyInArrow(lean(meet), "a long, b long")
     return small.union(first.where("b is not null")).union(second)
 
 

@@ -6,6 +6,12 @@ rules, whatever the corpus) estimates each rule's accuracy on good and on bad
 documents and the share of good ones; a document stays if its posterior
 probability of being good is at least one half and no base rule fails.
 
+The estimates begin with the majority of each document's votes, which also says
+which class is the good one, and have weak Beta priors, no bounds: a rule that
+fires at random ends with even odds and decides nothing.  A kind of junk that one
+rule alone sees cannot be told from that rule's mistakes; so each kind should be
+seen by two rules at least, and one weak bad vote may be outvoted.
+
 Nulls and odd input: a null or empty text has no words and fails the base
 rule; repeated rows are judged each; an empty table gives an empty result;
 further columns, of any name, are carried through by :func:`filtered`.
@@ -22,6 +28,10 @@ from .common import table, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
+#: A word with a sign of markup or tables, or without a letter or digit.
+MARKED = r"[#*$%&|<>=^_{}\[\]\\~]|^[^\p{L}\p{N}]+$"
+#: What the Beta priors are worth, in votes, and the accuracies that they favour on good and on bad documents.
+PRIOR, PRIOR_GOOD, PRIOR_BAD = 20.0, 0.9, 0.5
 
 
 def measured(df: DataFrame, text: str = "_text") -> DataFrame:
@@ -34,7 +44,7 @@ def measured(df: DataFrame, text: str = "_text") -> DataFrame:
     windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(get(i, k) for k in range(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
     lines = F.filter(F.split(clean, r"\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = out.withColumns({
-        "_q_n_words": n.cast("long"), "_q_word_chars": F.length(F.array_join("_q_words", "")).cast("long"), "_q_windows": windows, "_q_lines": lines,
+        "_q_n_words": n.cast("long"), "_q_marked": F.size(F.filter("_q_words", lambda w: w.rlike(MARKED))), "_q_word_chars": F.length(F.array_join("_q_words", "")).cast("long"), "_q_windows": windows, "_q_lines": lines,
         "_q_n_symbols": F.regexp_count(clean, F.lit("[#*$%&|<>]")).cast("long"), "_q_upper": F.regexp_count(clean, F.lit("[A-Z]")), "_q_shout": F.regexp_count(clean, F.lit("!")), "_q_digits": F.regexp_count(clean, F.lit("[0-9]")),
     })
     twice = F.size(F.array_distinct("_q_windows")) < F.size("_q_windows")
@@ -61,8 +71,9 @@ def rules() -> dict[str, Column]:
     n, chars = F.greatest(c("_q_n_words"), F.lit(1)), F.greatest(c("_q_word_chars"), F.lit(1))
     return {
         "length": _vote(n < 12, n >= 60),
-        "word_length": _vote((chars / n < 2) | (chars / n > 15), (chars / n >= 3) & (chars / n <= 11)),
+        "word_length": _vote((chars / n < 3) | (chars / n > 10), (chars / n >= 3.5) & (chars / n <= 9)),
         "symbols": _vote(c("_q_n_symbols") / n > 0.1, c("_q_n_symbols") / n <= 0.02),
+        "marked_words": _vote(c("_q_marked") / n > 0.2, c("_q_marked") / n <= 0.05),
         "dup_lines": _vote((c("_q_n_lines") >= 3) & (c("_q_n_dup_lines") / c("_q_n_lines") > 0.3), (c("_q_n_lines") >= 3) & (c("_q_n_dup_lines") == 0)),
         "repeats": _vote(c("_q_n_repeat_words") / n > 0.1, (n >= 20) & (c("_q_n_repeat_words") == 0)),
         "upper": _vote(c("_q_upper") / chars > 0.3, c("_q_upper") / chars < 0.1),
@@ -83,43 +94,52 @@ def _digits(p: int, n: int) -> list[int]:
     return [p // 3**k % 3 for k in range(n)]
 
 
-def fitted(counts: dict[int, int], n_rules: int, rounds: int = 40) -> dict[int, float]:
-    """Posterior probability of good for each pattern, by expectation-maximisation over the pattern counts.
+def fitted(counts: dict[int, int], n_rules: int, rounds: int = 200) -> tuple[dict[int, float], list[float], list[float], float]:
+    """Expectation-maximisation over the counts of vote patterns.
 
-    A rule is nearly always silent on a good document (accuracy 0.998 at the
-    start), and catches only its own kind of bad ones (0.2): so one vote
-    against outweighs the silence of the others.  Beta priors worth 10 votes
-    keep the estimates apart on small corpora.
+    Gives the posterior probability of good for each pattern, each rule's
+    accuracy (share of right votes among its votes) on good and on bad
+    documents, and the share of good documents.
     """
-    good, bad, share = [0.998] * n_rules, [0.2] * n_rules, 0.8
-    votes = {p: _digits(p, n_rules) for p in counts}
-    post: dict[int, float] = {}
+    votes = {p: [(k, d == 2) for k, d in enumerate(_digits(p, n_rules)) if d] for p in counts}
+    post = {}
+    for p, v in votes.items():  # the majority; without a bad vote nearly sure
+        bad = sum(against for _, against in v)
+        post[p] = (1 + len(v) - bad) / (2 + len(v)) if bad else 0.95
+    total, good, bad, share = sum(counts.values()), [PRIOR_GOOD] * n_rules, [PRIOR_BAD] * n_rules, 0.8
     for _ in range(rounds):
+        right, cast = [[PRIOR * PRIOR_BAD] * n_rules, [PRIOR * PRIOR_GOOD] * n_rules], [[PRIOR] * n_rules, [PRIOR] * n_rules]
+        mass = 0.0
+        for p, v in votes.items():
+            of_good = counts[p] * post[p]
+            of_bad = counts[p] - of_good
+            mass += of_good
+            for k, against in v:
+                cast[1][k] += of_good
+                cast[0][k] += of_bad
+                if against:
+                    right[0][k] += of_bad
+                else:
+                    right[1][k] += of_good
+        good, bad = ([r / c for r, c in zip(right[x], cast[x], strict=True)] for x in (1, 0))
+        share, change = (mass + 8) / (total + 10), 0.0
+        base = math.log(share / (1 - share))
+        against_ = [math.log((1 - g) / b) for g, b in zip(good, bad, strict=True)]
+        for_ = [math.log(g / (1 - b)) for g, b in zip(good, bad, strict=True)]
         for p, v in votes.items():
-            x = math.log(share) - math.log(1 - share)
-            for k, d in enumerate(v):
-                if d:
-                    x += math.log(good[k] / (1 - bad[k])) if d == 1 else math.log((1 - good[k]) / bad[k])
-            post[p] = 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
-        total = sum(counts.values())
-        mass = sum(counts[p] * post[p] for p in counts)
-        share = min(0.999, max(0.5, (mass + 8) / (total + 10)))
-        for k in range(n_rules):
-            g1 = sum(counts[p] * post[p] for p, v in votes.items() if v[k] == 1)
-            g = g1 + sum(counts[p] * post[p] for p, v in votes.items() if v[k] == 2)
-            b2 = sum(counts[p] * (1 - post[p]) for p, v in votes.items() if v[k] == 2)
-            b = b2 + sum(counts[p] * (1 - post[p]) for p, v in votes.items() if v[k] == 1)
-            # the limits are set so wide that a good document trips a rule in 3 of 1000 cases at most; bad ones trip it more often
-            good[k] = min(0.9995, max(0.997, (g1 + 9.98) / (g + 10)))
-            bad[k] = min(0.95, max(2 * (1 - good[k]), 0.05, (b2 + 2) / (b + 10)))
-    return post
+            x = base + sum(against_[k] if against else for_[k] for k, against in v)
+            new = 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
+            change, post[p] = max(change, abs(new - post[p])), new
+        if change < 1e-7:
+            break
+    return post, good, bad, share
 
 
 def posteriors(votes: DataFrame) -> DataFrame:
     """(pattern, posterior) for the column ``_q_pattern``; at most 3 to the number of rules rows."""
     n = len(rules())
     counts = {r["_q_pattern"]: r["n"] for r in votes.groupBy("_q_pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
-    post = fitted(counts, n)
+    post = fitted(counts, n)[0]
     return votes.sparkSession.createDataFrame(sorted(post.items()), "_q_pattern int, _q_posterior double")
 
 

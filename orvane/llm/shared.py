@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .scan import U
 
 BLOCK_BYTES = 6 << 20
@@ -70,8 +71,8 @@ def shared_classes(blocks: DataFrame, hashes_of: Callable[[pa.Table], np.ndarray
         back = [zlib.compress(c.tobytes(), 1) for c in np.split(classes, ends[:-1])]
         return pa.table({"block": bucket["block"], "bucket": pa.array([number] * len(parts), pa.int32()), "classes": pa.array(back, pa.binary())})
 
-    sent = blocks.groupBy("_block").applyInArrow(send, "bucket int, block int, hashes binary")
-    return sent.groupBy("bucket").applyInArrow(count, "block int, bucket int, classes binary")
+    sent = blocks.groupBy("_block").applyInArrow(lean(send), "bucket int, block int, hashes binary")
+    return sent.groupBy("bucket").applyInArrow(lean(count), "block int, bucket int, classes binary")
 
 
 def classes_for(hashes: np.ndarray, answers: pa.Table, buckets: int) -> np.ndarray:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed_row, small_batches, table, text_bytes
+from .common import lean, packed_row, small_batches, table, text_bytes
 from .scan import U, mixed, text_buffers
 from .shared import buckets_for, classes_for, in_blocks, ordered, shared_classes
 
@@ -468,11 +468,11 @@ def removed_bytes(docs: DataFrame, size: int, outputs: str | T.StructType, outpu
         return output(block, [whole[c] if copy else spans[c] for c, copy in zip(own.code.tolist(), copies.tolist(), strict=True)])
 
     answers = shared_classes(blocks, hashes_of, buckets)
-    sent = blocks.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(send, "shard int, block int, texts binary, counts binary, least binary, tags binary")
-    owned = sent.groupBy("shard").applyInArrow(_owned, "block int, shard int, runs binary, owners binary")
+    sent = blocks.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(lean(send), "shard int, block int, texts binary, counts binary, least binary, tags binary")
+    owned = sent.groupBy("shard").applyInArrow(lean(_owned), "block int, shard int, runs binary, owners binary")
     nothing = F.lit(None).cast("binary")
     both = answers.select("block", "bucket", "classes", nothing.alias("runs"), nothing.alias("owners")).union(owned.select("block", (F.col("shard") + OWNERS).alias("bucket"), nothing.alias("classes"), "runs", "owners"))
-    return blocks.groupBy("_block").cogroup(both.groupBy("block")).applyInArrow(mark, outputs)
+    return blocks.groupBy("_block").cogroup(both.groupBy("block")).applyInArrow(lean(mark), outputs)
 
 
 #: Owners' rows are told from those of the counting buckets by this much.

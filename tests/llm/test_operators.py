@@ -391,11 +391,35 @@ def test_quality_measures(docs, rows, none, odd):
     assert quality.filtered(none).count() == 0
 
 
-def test_weak_supervision_separates():
-    n = 8
-    good, symbols, shout = sum(3**k for k in range(n)), sum(3**k * (2 if k == 2 else 1) for k in range(n)), sum(3**k * (2 if k in (5, 6) else 1) for k in range(n))
-    post = quality.fitted({good: 900, symbols: 60, shout: 40}, n)
-    assert post[good] > 0.9 and post[symbols] < 0.5 and post[shout] < 0.5
+def simulated(n, share, good, bad, silent=0.2, seed=1):
+    """Counts of vote patterns of ``n`` documents, and the documents' classes and patterns."""
+    r = np.random.default_rng(seed)
+    is_good = r.random(n) < share
+    right = r.random((n, len(good))) < np.where(is_good[:, None], good, bad)
+    vote = np.where(right == is_good[:, None], 1, 2) * (r.random((n, len(good))) >= silent)
+    patterns = (vote * 3 ** np.arange(len(good))).sum(axis=1)
+    return dict(Counter(patterns.tolist())), is_good, patterns
+
+
+def test_weak_supervision_finds_accuracies():
+    good, bad = [0.99, 0.97, 0.95, 0.9, 0.99, 0.85], [0.8, 0.6, 0.7, 0.5, 0.9, 0.6]
+    counts, is_good, patterns = simulated(30_000, 0.85, good, bad)
+    post, got_good, got_bad, share = quality.fitted(counts, len(good))
+    assert abs(share - 0.85) < 0.03 and np.abs(np.array(got_good) - good).max() < 0.03 and np.abs(np.array(got_bad) - bad).max() < 0.08
+    verdict = np.array([post[p] >= 0.5 for p in patterns.tolist()])
+    assert (verdict == is_good).mean() > 0.95
+
+
+def test_weak_supervision_ignores_a_rule_that_fires_at_random():
+    """It votes bad on half of all documents: its vote decides nothing, two agreeing rules outvote it."""
+    good, bad = [0.99, 0.98, 0.99, 0.98, 0.5], [0.8, 0.8, 0.7, 0.7, 0.5]
+    counts, *_ = simulated(20_000, 0.85, good, bad, silent=0.0)
+    post, got_good, got_bad, _ = quality.fitted(counts, 5)
+    assert abs(got_good[4] - 0.5) < 0.03 and abs(got_bad[4] - 0.5) < 0.08
+    pattern = lambda *v: sum(x * 3**k for k, x in enumerate(v))
+    assert post[pattern(1, 1, 1, 1, 2)] > 0.9, "all-must-pass would reject it"
+    assert post[pattern(2, 2, 1, 1, 1)] < 0.5
+    assert post[pattern(1, 2, 1, 1, 1)] > 0.5, "one bad vote of a good rule is outvoted"
 
 
 # -- 9 --------------------------------------------------------------------------------
