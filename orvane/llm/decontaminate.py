@@ -6,12 +6,14 @@ that ends there is known.  Where it reaches the window (13 words, or a whole
 shorter item), the window's words are hit.  Runs of words none of whose short
 grams occurs in an item cannot reach a window and are skipped.
 
-The items come to the driver, in blocks of bounded size; each block's automaton
-is one pass over the documents, chained without a shuffle.  More than
-``MAX_BLOCKS`` blocks are refused: test sets are small.
+The items come to the driver, in blocks of bounded size, each with an automaton
+of its own; a Python worker builds them once and streams every batch of documents
+through all, without a shuffle.  More than ``MAX_BLOCKS`` blocks are refused: test
+sets are small.
 
 Nulls and odd input: a null or empty text has no words and is not contaminated;
-an item without words has no window; equal items are each reported; repeated
+an item without words has no window; equal items are each reported; items without
+an id hit as others do, count as one item and have no name in a digest; repeated
 documents are judged each; an empty table of documents or of items gives an
 empty or a clean result; further columns, of any name, are carried through by
 :func:`cleaned`.
@@ -19,7 +21,7 @@ empty or a clean result; further columns, of any name, are carried through by
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_nullable, packed_row, small_batches, table
+from .common import as_nullable, lean_batches, packed_row, small_batches, table
 from .scan import U, chunks, grams, split_table, words
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
 MAX_BLOCKS = 64
+#: Stands for the id of items that have none.
+NO_ID = "\x00"
 FOUND = "_spans array<struct<start:int,length:int,from:long,to:long>>, _items array<string>, _n_words long"
 
 
@@ -181,44 +185,51 @@ def item_blocks(items: DataFrame) -> list[list[tuple[str, str]]]:
     blocks = max(1, -(-total // BLOCK_BYTES))
     if blocks > MAX_BLOCKS:
         raise ValueError(f"{total} bytes of test items; at most {MAX_BLOCKS * BLOCK_BYTES} are taken")
-    rows = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("k"), "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("b"))
+    rows = items.where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit(NO_ID)).alias("k"), "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("b"))
     found: list[list[tuple[str, str]]] = [[] for _ in range(blocks)]
     for r in rows.collect():
         found[r["b"]].append((r["k"], r["text"]))
     return found
 
 
+#: The automata that this Python worker has built last.
+_BUILT: dict[str, list[Automaton]] = {}
+
+
+def _automata(key: str, blocks: list[list[tuple[str, str]]], window: int) -> list[Automaton]:
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = [Automaton(b, window) for b in blocks]
+    return _BUILT[key]
+
+
+def _joint(found: list[tuple[list, list, int]]) -> tuple[list, list, int]:
+    """What several automata found in one text."""
+    hits = [f for f in found if f[0]]
+    if len(hits) <= 1:
+        return hits[0] if hits else found[0]
+    first = {a: x for spans, _, _ in hits for a, _, x, _ in spans}
+    last = {a + n: x for spans, _, _ in hits for a, n, _, x in spans}
+    spans = _merged([(a, a + n) for s, _, _ in hits for a, n, _, _ in s])
+    return [(a, b - a, first[a], last[b]) for a, b in spans], sorted({k for _, keys, _ in hits for k in keys}), found[0][2]
+
+
 def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Add ``_spans``, ``_items`` and ``_n_words`` to rows with a column ``_text``."""
     small_batches(docs.sparkSession)
     schema = T.StructType([*as_nullable(docs.schema).fields, *T._parse_datatype_string(FOUND).fields])
     span = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("from", pa.int64()), ("to", pa.int64())])
+    blocks, key = item_blocks(items), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata = _automata(key, blocks, window)
+        for batch in batches:
+            found = [_joint(list(x)) for x in zip(*(a.scan(batch["_text"]) for a in automata), strict=True)]
+            spans = [[dict(zip(("start", "length", "from", "to"), x, strict=True)) for x in s] for s, _, _ in found]
+            keys = [[None if k == NO_ID else k for k in keys] for _, keys, _ in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, pa.list_(span)), pa.array(keys, pa.list_(pa.string())), pa.array([n for _, _, n in found], pa.int64())], names=[*batch.schema.names, "_spans", "_items", "_n_words"])
 
-    def passing(block: list[tuple[str, str]]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = Automaton(block, window)
-            for batch in batches:
-                found = list(automaton.scan(batch["_text"]))
-                spans, keys = [list(s) for s, _, _ in found], [k for _, k, _ in found]
-                names = batch.schema.names
-                if "_spans" in names:
-                    old = batch["_spans"].to_pylist(), batch["_items"].to_pylist()
-                    for i, (s, k) in enumerate(zip(*old, strict=True)):
-                        ranges = {(a, a + n): None for a, n, _, _ in spans[i]} | {(x["start"], x["start"] + x["length"]): None for x in s}
-                        if s:
-                            at = {a: f for a, _, f, _ in spans[i]} | {x["start"]: x["from"] for x in s}
-                            to = {a + n: t for a, n, _, t in spans[i]} | {x["start"] + x["length"]: x["to"] for x in s}
-                            spans[i] = [(a, b - a, at[a], to[b]) for a, b in _merged(list(ranges))]
-                        keys[i] = sorted({*keys[i], *k})
-                    names = [x for x in names if x not in ("_spans", "_items", "_n_words")]
-                values = [[dict(zip(("start", "length", "from", "to"), x, strict=True)) for x in s] for s in spans]
-                yield pa.RecordBatch.from_arrays([*(batch[x] for x in names), pa.array(values, pa.list_(span)), pa.array(keys, pa.list_(pa.string())), pa.array([n for _, _, n in found], pa.int64())], names=[*names, "_spans", "_items", "_n_words"])
-
-        return run
-
-    for block in item_blocks(items):
-        docs = docs.mapInArrow(passing(block), schema)
-    return docs
+    return docs.mapInArrow(lean_batches(run), schema)
 
 
 def n_hit():
@@ -242,10 +253,6 @@ def cleaned(docs: DataFrame, items: DataFrame, text: str = "text", length: str |
     return rows.select(*columns)
 
 
-def digest_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
 def op1_decontaminate(spark, sf_dir) -> DataFrame:
     """Match all documents with all test items."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("_text"))

@@ -24,7 +24,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_system, new_folder, small_batches, sorted_by_range, table, text_bytes, written
+from .common import file_system, lean_batches, new_folder, small_batches, sorted_by_range, table, text_bytes, written
 from .tokens import default_tokenizer, encoder
 
 #: Ids in a row group.
@@ -83,7 +83,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
             fs.move(draft, place)  # complete files only; a repeated task writes the same again
             yield pa.RecordBatch.from_pylist([{"part": part, "path": place, "n_docs": n_docs, "n_ids": start, "groups": groups}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("groups", pa.int32())]))
 
-    return written(parts.mapInArrow(write, MANIFEST), "manifest")
+    return written(parts.mapInArrow(lean_batches(write), MANIFEST), "manifest")
 
 
 def read_token_files(manifest: DataFrame, folder: str, id_type: str = "<u4") -> DataFrame:
@@ -114,7 +114,7 @@ def read_token_files(manifest: DataFrame, folder: str, id_type: str = "<u4") ->
                     t["doc_id"].combine_chunks(), pa.array(t["start"].to_numpy() + u["base"]), t["n_tokens"].combine_chunks(), pa.array(sums, pa.int64()),
                 ], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return todo.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return todo.mapInArrow(lean_batches(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(folder: str, path: str, doc_ids: list[int]):

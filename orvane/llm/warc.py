@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, file_system, new_folder, small_batches, sorted_by_range, table, written
+from .common import LOWER, UPPER, file_system, lean_batches, new_folder, small_batches, sorted_by_range, table, written
 
 #: Index lines in a block.
 BLOCK_LINES = 512
@@ -152,7 +152,7 @@ def write_archives(pages: DataFrame, folder: str, per_part: int = 4096) -> DataF
                 fs.move(draft, name)  # complete files only; a repeated task writes the same again
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32()), ("block", pa.int32()), *((x, pa.string()) for x in ("first_key", "last_key", "archive", "index")), ("start", pa.int64()), ("length", pa.int64()), ("n_lines", pa.int32())]))
 
-    return written(parts.mapInArrow(write, DIRECTORY), "directory")
+    return written(parts.mapInArrow(lean_batches(write), DIRECTORY), "directory")
 
 
 def _lines(fs, entry: dict) -> list[tuple[str, int, int]]:
@@ -174,7 +174,7 @@ def read_archives(directory: DataFrame, folder: str) -> DataFrame:
                     rows = [parse_record(f.read_at(n, a)) for _, a, n in _lines(fs, entry)]
                 yield pa.RecordBatch.from_pylist([{k: r[k] for k in kinds.names} for r in rows], schema=kinds)
 
-    return directory.repartition(max(1, min(blocks, 2 * -(-blocks // 4))), "part", "block").mapInArrow(read, RECORD)
+    return directory.repartition(max(1, min(blocks, 2 * -(-blocks // 4))), "part", "block").mapInArrow(lean_batches(read), RECORD)
 
 
 class CaptureIndex:
