@@ -96,16 +96,21 @@ def give_back() -> None:
 
 
 def lean(work: Callable) -> Callable:
-    """``work`` on a group, after which free memory is given back."""
+    """``work`` on a group or on two cogroups, after which free memory is given back."""
 
-    @functools.wraps(work)
-    def run(*tables):
+    def one(group):
         try:
-            return work(*tables)
+            return work(group)
         finally:
             give_back()
 
-    return run
+    def two(left, right):
+        try:
+            return work(left, right)
+        finally:
+            give_back()
+
+    return one if work.__code__.co_argcount == 1 else two
 
 
 def lean_batches(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
