@@ -81,8 +81,8 @@ def sorted_by_range(df: DataFrame, per_task: int, rows: int, *keys: str, then: t
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that Python workers get, in rows and in bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def give_back() -> None:
@@ -95,16 +95,27 @@ def give_back() -> None:
         trim(0)
 
 
+#: What a worker keeps for the next task of its own operator; work on groups needs none of it.
+MODELS: list[dict] = []
+
+
+def drop_models() -> None:
+    for kept in MODELS:
+        kept.clear()
+
+
 def lean(work: Callable) -> Callable:
-    """``work`` on a group or on two cogroups, after which free memory is given back."""
+    """``work`` on a group or on two cogroups, before which models of other operators go and after which free memory is given back."""
 
     def one(group):
+        drop_models()
         try:
             return work(group)
         finally:
             give_back()
 
     def two(left, right):
+        drop_models()
         try:
             return work(left, right)
         finally:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_nullable, lean_batches, packed_row, small_batches, table
+from .common import MODELS, as_nullable, lean_batches, packed_row, small_batches, table
 from .scan import U, chunks, grams, split_table, words
 
 WINDOW = 13
@@ -194,6 +194,7 @@ def item_blocks(items: DataFrame) -> list[list[tuple[str, str]]]:
 
 #: The automata that this Python worker has built last.
 _BUILT: dict[str, list[Automaton]] = {}
+MODELS.append(_BUILT)
 
 
 def _automata(key: str, blocks: list[list[tuple[str, str]]], window: int) -> list[Automaton]:

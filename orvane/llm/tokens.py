@@ -16,12 +16,15 @@ from array import array
 
 import numpy as np
 
+from .common import MODELS
+
 #: Entries of a memo after which it ages: it is the old one then, and what is used from there comes into the new one.
 MEMO = 250_000
 #: Longer pieces are encoded each time.
 LONG = 64
 _LOCK = threading.Lock()
 _KEPT: dict[str, BpeEncoder] = {}
+MODELS.append(_KEPT)
 
 
 def default_tokenizer() -> str:
