@@ -54,14 +54,19 @@ def _column_domain(kind: T.DataType) -> str:
 class Filter:
     """A node of a predicate tree; hashable, equal by structure."""
 
-    def column(self, schema: T.StructType) -> Column:
+    def column(self, schema: T.StructType, settle: bool = True) -> Column:
         raise NotImplementedError
 
     def children(self) -> tuple[Filter, ...]:
         return ()
 
 
-def _equals(schema: T.StructType, field: str, value: Any) -> Column:
+def _settled(test: Column, settle: bool) -> Column:
+    """A test that is false where it is null; without ``settle`` left as it is, so that a scan can take it over."""
+    return F.coalesce(test, F.lit(False)) if settle else test
+
+
+def _equals(schema: T.StructType, field: str, value: Any, settle: bool = True) -> Column:
     if field not in schema.names:
         return F.lit(False)
     col, have, want = F.col(f"`{field}`"), _column_domain(schema[field].dataType), _domain(value)
@@ -84,7 +89,7 @@ def _equals(schema: T.StructType, field: str, value: Any) -> Column:
             same = same & (sign if minus else ~sign)
         elif minus:
             return F.lit(False)
-    return F.coalesce(same, F.lit(False))
+    return _settled(same, settle)
 
 
 @dataclass(frozen=True)
@@ -95,8 +100,8 @@ class Eq(Filter):
     def __post_init__(self):
         _domain(self.value)
 
-    def column(self, schema):
-        return _equals(schema, self.field, self.value)
+    def column(self, schema, settle=True):
+        return _equals(schema, self.field, self.value, settle)
 
 
 def _identity(value: Any) -> tuple:
@@ -122,14 +127,14 @@ class In(Filter):
         object.__setattr__(self, "field", field)
         object.__setattr__(self, "values", tuple(found.values()))
 
-    def column(self, schema):
+    def column(self, schema, settle=True):
         if self.field not in schema.names or not self.values:
             return F.lit(False)
         have = _column_domain(schema[self.field].dataType)
         plain = [v for v in self.values if v is not None and _domain(v) == have and v != 0 and v == v]
         rest = [v for v in self.values if not any(v is p for p in plain)]
-        parts = [F.coalesce(F.col(f"`{self.field}`").isin(plain), F.lit(False))] if plain else []
-        return reduce(lambda a, b: a | b, parts + [_equals(schema, self.field, v) for v in rest])
+        parts = [_settled(F.col(f"`{self.field}`").isin(plain), settle)] if plain else []
+        return reduce(lambda a, b: a | b, parts + [_equals(schema, self.field, v, settle) for v in rest])
 
 
 @dataclass(frozen=True)
@@ -145,14 +150,14 @@ class Range(Filter):
         if self.low != self.low or self.high != self.high or self.low > self.high:
             raise ValueError("bounds must be ordered")
 
-    def column(self, schema):
+    def column(self, schema, settle=True):
         if self.field not in schema.names or _column_domain(schema[self.field].dataType) != _domain(self.low):
             return F.lit(False)
         col = F.col(f"`{self.field}`")
         inside = col.between(F.lit(self.low), F.lit(self.high))
         if isinstance(schema[self.field].dataType, (T.FloatType, T.DoubleType)):
             inside = inside & ~F.isnan(col)
-        return F.coalesce(inside, F.lit(False))
+        return _settled(inside, settle)
 
 
 @dataclass(frozen=True, init=False)
@@ -165,8 +170,8 @@ class And(Filter):
     def children(self):
         return self.parts
 
-    def column(self, schema):
-        return reduce(lambda a, b: a & b, (p.column(schema) for p in self.parts), F.lit(True))
+    def column(self, schema, settle=True):
+        return reduce(lambda a, b: a & b, (p.column(schema, settle) for p in self.parts), F.lit(True))
 
 
 @dataclass(frozen=True, init=False)
@@ -179,8 +184,8 @@ class Or(Filter):
     def children(self):
         return self.parts
 
-    def column(self, schema):
-        return reduce(lambda a, b: a | b, (p.column(schema) for p in self.parts), F.lit(False))
+    def column(self, schema, settle=True):
+        return reduce(lambda a, b: a | b, (p.column(schema, settle) for p in self.parts), F.lit(False))
 
 
 @dataclass(frozen=True)
@@ -190,7 +195,7 @@ class Not(Filter):
     def children(self):
         return (self.part,)
 
-    def column(self, schema):
+    def column(self, schema, settle=True):
         return ~self.part.column(schema)
 
 
@@ -213,9 +218,15 @@ def normalized(filter_: Filter | Mapping | None) -> Filter | None:
     return filter_
 
 
-def compiled(filter_: Filter | Mapping | None, schema: T.StructType) -> Column:
+def compiled(filter_: Filter | Mapping | None, schema: T.StructType, settle: bool = True) -> Column:
+    """The filter as a column.
+
+    Without ``settle`` it may be null where it is not true, which ``where``
+    takes for false, and its comparisons reach the scan; what stands under a
+    ``Not`` is settled all the same.
+    """
     found = normalized(filter_)
-    return F.lit(True) if found is None else found.column(schema)
+    return F.lit(True) if found is None else found.column(schema, settle)
 
 
 def selectivity(df: DataFrame, filter_) -> DataFrame:

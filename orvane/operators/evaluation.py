@@ -150,11 +150,10 @@ def probe_curve(rows: DataFrame, centroids: DataFrame, queries: DataFrame, truth
 
 def probe_rollup(curve: DataFrame) -> DataFrame:
     """By (nprobe, bucket) and by nprobe over all buckets."""
-    curve.createOrReplaceTempView("_curve")
     return curve.sparkSession.sql("""
         SELECT nprobe, coalesce(bucket, 'all') AS bucket, count(*) AS queries, avg(truth_list_recall) AS mean_recall, min(truth_list_recall) AS min_recall,
           percentile_disc(0.5) WITHIN GROUP (ORDER BY candidates_visited) AS p50_candidates, percentile_disc(0.95) WITHIN GROUP (ORDER BY candidates_visited) AS p95_candidates, avg(candidates_visited) AS mean_candidates
-        FROM _curve GROUP BY GROUPING SETS ((nprobe, bucket), (nprobe))""")
+        FROM {curve} GROUP BY GROUPING SETS ((nprobe, bucket), (nprobe))""", curve=curve)
 
 
 def probe_schedule(lists: int) -> list[int]:
@@ -219,7 +218,7 @@ def hybrid_stitch(exact_rows: DataFrame, ivf_rows: DataFrame, threshold: float =
 def stratified_split(df: DataFrame, stratum: str, key: str, train: float = 0.5, seed: int = 42) -> DataFrame:
     """Add ``split``: in each stratum the first ``floor(n * train)`` by a seeded hash are for training."""
     w = Window.partitionBy(stratum)
-    place = F.row_number().over(w.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
+    place = F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key))), key))
     return df.withColumn("split", F.when(place <= F.floor(F.count(F.lit(1)).over(w) * train), "train").otherwise("test"))
 
 
@@ -233,6 +232,77 @@ def proportional_allocation(counts: dict[str, int], total: int) -> dict[str, int
     return out
 
 
+def query_partitions(df: DataFrame, stratum: str, key: str, counts: dict[str, int], seed: int = 42) -> DataFrame:
+    """(key, stratum, partition) for as many queries of each partition as ``counts`` says, proportional to the strata.
+
+    A stratum's rows are dealt in a seeded order: the first to the first
+    partition, and so on; what is left is in none.
+    """
+    sizes = {r[0]: r[1] for r in df.groupBy(F.col(stratum).cast("string")).count().collect()}
+    if min(counts.values()) < 1 or sum(counts.values()) > sum(sizes.values()):
+        raise ValueError("every partition needs queries, and there must be enough of them")
+    left, edges = dict(sizes), []
+    for name, n in counts.items():
+        share = proportional_allocation({k: v for k, v in left.items() if v}, n)
+        edges += [(name, k, sizes[k] - left[k], sizes[k] - left[k] + m) for k, m in share.items()]
+        left = {k: v - share.get(k, 0) for k, v in left.items()}
+    bounds = df.sparkSession.createDataFrame(edges, "partition string, _s string, _lo long, _hi long")
+    order = F.row_number().over(Window.partitionBy(stratum).orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key))), key)) - 1
+    placed = df.select(key, stratum, F.col(stratum).cast("string").alias("_s"), order.alias("_n"))
+    return placed.join(F.broadcast(bounds), "_s").where("_n >= _lo and _n < _hi").select(key, stratum, "partition")
+
+
+def sealed(partitions: DataFrame, key: str, name: str = "confirmation") -> tuple[int, str]:
+    """Number and digest of a partition's keys in order, to be published in their place."""
+    row = partitions.where(F.col("partition") == name).agg(F.count(F.lit(1)), F.sha2(F.array_join(F.array_sort(F.collect_list(key)).cast("array<string>"), ","), 256)).first()
+    return row[0], row[1]
+
+
+def validated_partitions(partitions: DataFrame, key: str, seal: tuple[int, str] | None = None, name: str = "confirmation") -> DataFrame:
+    """The partitions, if no query is in two of them and the sealed one is what it was."""
+    if not partitions.groupBy(key).count().where("count > 1").isEmpty():
+        raise ValueError("partitions overlap")
+    if seal is not None and sealed(partitions, key, name) != tuple(seal):
+        raise ValueError(f"the queries of {name} have changed")
+    return partitions
+
+
+def filter_selectivities(rows: DataFrame, filters: DataFrame, label: str = "label") -> DataFrame:
+    """``filters`` (..., label) with the share of rows that has the label; 0 where none has."""
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    total = rows.agg(F.count(F.lit(1)).alias("_t"))
+    return filters.join(counts, label, "left").join(F.broadcast(total)).withColumn("selectivity", F.coalesce(F.col("_n") / F.col("_t"), F.lit(0.0))).drop("_n", "_t")
+
+
+def last_measurements(rows: DataFrame, key: list[str], order: str = "repetition") -> DataFrame:
+    """One row for each key: that of the last ``order``."""
+    w = Window.partitionBy(*key).orderBy(F.desc(order))
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def benchmark_summary(rows: DataFrame, by: tuple[str, ...] = ("method",)) -> DataFrame:
+    """Means over queries, and the latencies, of each method."""
+    disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY latency_ms)")
+    means = [F.avg(c).alias(f"average_{n}") for c, n in (("recall", "recall"), ("result_count", "results"), ("candidates_visited", "candidates_visited"), ("candidates_scored", "candidates_scored"), ("lists_probed", "lists_probed"))]
+    return rows.groupBy(*by).agg(*means, disc(0.5).alias("p50_ms"), disc(0.95).alias("p95_ms"))
+
+
+def experiment_summary(rows: DataFrame, key: list[str], target_recall: float = 0.9, claim: tuple[str, str] = ("ivf_postfilter", "filter_aware"), gate: float = 1.15) -> DataFrame:
+    """One row for each configuration and method, beside the configuration's oracle method, planner regret and claim.
+
+    The oracle is the fastest method of at least the target recall (by p95;
+    ``auto`` is the planner's own and no candidate); regret is the p95 of
+    ``auto`` over the oracle's; the claim compares two methods' p95.
+    """
+    executed = rows.groupBy(*key, "method").agg(F.array_join(F.array_sort(F.collect_set("selected_method")), ",").alias("executed_methods"))
+    found = benchmark_summary(rows, (*key, "method")).join(executed, [*key, "method"])
+    able = F.when((F.col("method") != "auto") & (F.col("average_recall") >= target_recall), F.struct("p95_ms", "method"))
+    p95 = lambda name: F.max(F.when(F.col("method") == name, F.col("p95_ms")))
+    whole = found.groupBy(*key).agg(F.min(able).alias("_o"), p95("auto").alias("_a"), (p95(claim[0]) / p95(claim[1])).alias("claim_speed_up"))
+    whole = whole.select(*key, F.col("_o.method").alias("oracle_method"), (F.col("_a") / F.col("_o.p95_ms")).alias("planner_regret"), "claim_speed_up", F.coalesce(F.col("claim_speed_up") >= gate, F.lit(False)).alias("claim_passed"))
+    return found.join(whole, key)
+
+
 def fingerprint(config: dict) -> str:
     """Signature under which truths and sweeps are kept."""
     return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()

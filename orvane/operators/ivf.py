@@ -45,13 +45,14 @@ def seeded_centroids(rows: DataFrame, label: str, vector: str = "vector", key: s
 def assigned(rows: DataFrame, centroids: DataFrame, metric: str = "cosine", vector: str = "vector") -> DataFrame:
     """Add ``list_id`` and ``list_score``: the list of the most similar centroid, ties to the lower list.
 
-    Relational form: every row meets all centroids, of which there are few.
+    Each row meets the array of all centroids, of which there are few, in
+    place: no shuffle, and repeated rows stay.
     """
-    near = score(metric, F.col(vector), F.col("centroid"))
-    each = rows.crossJoin(F.broadcast(centroids.select("list_id", "centroid"))).withColumn("_s", near)
+    held = centroids.agg(F.collect_list(F.struct("list_id", "centroid")).alias("_c"))
     keys = [c for c in rows.columns if c != vector]
-    best = F.max_by(F.struct("list_id", "_s"), F.struct("_s", -F.col("list_id"))).alias("_b")
-    return each.groupBy(*keys).agg(F.first(vector).alias(vector), best).select(*keys, vector, F.col("_b.list_id").alias("list_id"), F.col("_b._s").alias("list_score"))
+    each = F.transform("_c", lambda c: F.struct(score(metric, F.col(vector), c["centroid"]).alias("s"), (-c["list_id"]).alias("n")))
+    best = rows.join(F.broadcast(held)).withColumn("_b", F.array_max(each))
+    return best.select(*keys, vector, (-F.col("_b.n")).alias("list_id"), F.col("_b.s").alias("list_score"))
 
 
 def assigned_fast(rows: DataFrame, centroids: np.ndarray, metric: str = "cosine", vector: str = "vector") -> DataFrame:

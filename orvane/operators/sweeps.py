@@ -115,8 +115,7 @@ def checked_contract(contract: Contract, rows, statistics, train, held_out, wher
 def hybrid_validation(exact_rows: DataFrame, ivf_rows: DataFrame, threshold: float = 0.01) -> DataFrame:
     """By bucket and over all: recall and p95 of the hybrid, and its speed-up over exact search."""
     h = E.hybrid_stitch(exact_rows, ivf_rows, threshold)
-    h.createOrReplaceTempView("_hybrid")
     return h.sparkSession.sql("""
         SELECT coalesce(bucket, 'all') AS bucket, count(*) AS n, avg(recall) AS recall, percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms) AS p95_ms,
           percentile_disc(0.95) WITHIN GROUP (ORDER BY e_ms) / percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms) AS speed_up
-        FROM _hybrid GROUP BY GROUPING SETS ((bucket), ())""")
+        FROM {h} GROUP BY GROUPING SETS ((bucket), ())""", h=h)

@@ -8,6 +8,8 @@ vec_id is divisible by 20; latencies are made from ids, so that they repeat.
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -39,11 +41,36 @@ def _one(spark, d):
     return search.with_norm(_table(spark, d, "embeddings").where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query")))
 
 
-def _index(spark, d):
+def _placed(spark, d):
     rows = _rows(spark, d)
     centroids = ivf.seeded_centroids(rows, "label")
-    placed = ivf.assigned(rows, centroids)
-    return placed, ivf.list_statistics(placed, centroids)
+    return ivf.assigned(rows, centroids), centroids
+
+
+#: Index folders by application and tables: an index is built once and read by list.
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, d):
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BUILT:
+        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not shared:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            shared = "file://" + tempfile.mkdtemp(prefix="orvane-")
+        path = f"{shared}/orvane-lists-{uuid.uuid4().hex}"
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+        placed, centroids = _placed(spark, d)
+        # large lists are several files
+        placed.repartition("list_id", F.pmod(F.xxhash64("position"), F.lit(4))).write.partitionBy("list_id").parquet(f"{path}/rows")
+        schema = placed.schema
+        ivf.list_statistics(spark.read.schema(schema).parquet(f"{path}/rows"), centroids).write.parquet(f"{path}/lists")
+        _BUILT[key] = path
+    path = _BUILT[key]
+    kind = "position long, vector array<float>, norm double, label int, list_score double, list_id int"
+    return spark.read.schema(kind).parquet(f"{path}/rows"), spark.read.parquet(f"{path}/lists")
 
 
 def _found(df):
@@ -56,7 +83,7 @@ def _found(df):
 def _exact_single(where=None, metric="cosine"):
     def run(spark, d):
         rows = _rows(spark, d)
-        left = rows.where(compiled(where, rows.schema)) if where is not None else rows
+        left = rows.where(compiled(where, rows.schema, settle=False)) if where is not None else rows
         scored = left.crossJoin(F.broadcast(_one(spark, d))).withColumn("score", V.score(metric, F.col("query"), F.col("vector"), F.col("query_norm"), F.col("norm")))
         return top_k(scored.select("position", "label", "score"), K)
 
@@ -92,7 +119,7 @@ def batch_per_query_filter(spark, d):
 def filter_events(where, *cols):
     def run(spark, d):
         df = _table(spark, d, "events")
-        return df.where(compiled(where, df.schema)).select(*cols)
+        return df.where(compiled(where, df.schema, settle=False)).select(*cols)
 
     return run
 
@@ -143,7 +170,7 @@ def _sql_probe(where="true", lists="SELECT query_id, list_id, list_rank FROM l W
 
 
 def ivf_assign(spark, d):
-    return _index(spark, d)[0].select("position", "list_id", "list_score")
+    return _placed(spark, d)[0].select("position", "list_id", "list_score")
 
 
 def ivf_statistics(spark, d):
@@ -203,6 +230,25 @@ def _sql_aware(pool, nprobe):
 
 ADAPTIVE = f"SELECT query_id, list_id, list_rank FROM (SELECT *, coalesce(sum(matches) OVER (PARTITION BY query_id ORDER BY list_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM aw) WHERE list_rank <= 2 OR b < {4 * K}"
 
+STOPS = f"""bb AS (SELECT *, coalesce(max(bound) OVER (PARTITION BY query_id ORDER BY list_rank ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), -10) AS rest FROM b),
+sc AS (SELECT b.query_id, b.list_rank, {COS.replace("e.v", "a.v")} AS score FROM b JOIN a USING (list_id) JOIN q ON q.query_id = b.query_id WHERE a.label IN (1, 3, 5)),
+tk AS (SELECT bb.query_id, bb.list_rank AS r, rest, score, row_number() OVER (PARTITION BY bb.query_id, bb.list_rank ORDER BY score DESC) AS n FROM bb JOIN sc ON sc.query_id = bb.query_id AND sc.list_rank <= bb.list_rank),
+so AS (SELECT query_id, min(r) AS stop FROM tk WHERE n = {K} AND rest < score GROUP BY query_id), al AS (SELECT query_id, max(list_rank) AS lists FROM b GROUP BY query_id),
+pb AS (SELECT q.query_id, coalesce(stop, lists, 0) AS probed, stop IS NOT NULL AS stopped, coalesce(lists, 0) AS lists FROM q LEFT JOIN al USING (query_id) LEFT JOIN so USING (query_id))
+SELECT query_id, coalesce(sum(matches) FILTER (list_rank <= probed), 0)::BIGINT AS visited, coalesce(sum(matches) FILTER (list_rank <= probed), 0)::BIGINT AS scored, any_value(probed)::INTEGER AS probed_lists, any_value(stopped) AS stopped_by_bound, any_value(stopped OR probed = lists) AS exact
+FROM pb LEFT JOIN b USING (query_id) GROUP BY query_id"""
+
+#: The planner's constants, as its configuration has them by default.
+_C = planner.Config()
+PLAN = f""", k0 AS (SELECT sum(size)::DOUBLE AS n, sum(matches)::DOUBLE AS bm, count(*) AS lists, CASE WHEN sum(matches) = 0 THEN 0 ELSE least(1, greatest(0, (sum(matches * matches) / (sum(matches) * sum(matches)) - 1 / count(*) FILTER (size > 0)) / (1 - 1 / count(*) FILTER (size > 0)))) END AS uneven FROM m),
+k1 AS (SELECT *, bm / n AS share, least({_C.max_nprobe}, lists) AS most FROM k0), k2 AS (SELECT *, CASE WHEN bm = 0 THEN most ELSE least(most, greatest(1, ceil(ceil({K} * {_C.candidate_multiplier} / {_C.target_recall}::DOUBLE) / (n * share / lists)))) END AS even FROM k1),
+k3 AS (SELECT *, least(most, ceil(even / greatest(0.1, 1 - uneven))) AS needed, greatest(1, ceil(even * (1 - {_C.filter_aware_gain} * uneven))) AS aware, least(1, share * (1 + uneven * (lists - 1))) AS density, n / lists AS mean, lists * 64 * {_C.centroid_cost}::DOUBLE AS routing FROM k2),
+k4 AS (SELECT *, least(n, ceil(needed * mean)) AS seen, least(n, ceil(least({_C.default_nprobe}, aware) * mean)) AS aware_seen FROM k3),
+pc AS (SELECT 1 AS o, 'exact' AS strategy, ceil(n / 64) * {_C.check_cost}::DOUBLE + bm * 64 * {_C.score_cost} AS cost, 0 AS low, 0 AS high, share FROM k4
+UNION ALL SELECT 2, 'ivf_prefilter', routing + seen * {_C.check_cost} + least(bm, ceil(seen * share)) * 64 * {_C.score_cost}, needed, needed, share FROM k4 UNION ALL SELECT 3, 'ivf_postfilter', routing + seen * 64 * {_C.score_cost}, needed, needed, share FROM k4
+UNION ALL SELECT 4, 'filter_aware', routing + lists * {_C.check_cost} + aware_seen * {_C.check_cost} + least(bm, ceil(aware_seen * density)) * 64 * {_C.score_cost}, least({_C.default_nprobe}, aware), greatest(aware, needed), share FROM k4
+UNION ALL SELECT 5, 'filter_aware_bound', routing + lists * {_C.check_cost} + least(bm, ceil(needed * mean * density)) * 64 * {_C.score_cost}, 1, needed, share FROM k4)"""
+
 BOUNDS = """, b0 AS (SELECT query_id, st.list_id, m.matches, radius, greatest(-1, least(1, list_dot_product(q.v, st.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(st.v, st.v))))) AS cs FROM q, st JOIN m USING (list_id) WHERE m.matches > 0),
 b1 AS (SELECT query_id, list_id, matches, CASE WHEN cs >= cos(radius) THEN 1 ELSE least(1, cs * cos(radius) + sqrt(1 - cs * cs) * sin(radius) + 2e-6) END AS bound FROM b0),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bound DESC, matches DESC, list_id) AS list_rank FROM b1)"""
@@ -244,7 +290,7 @@ def plan_costs(spark, d):
 
 
 def plan_choice(spark, d):
-    return planner.explained(spark, planner.choose(_statistics(spark, d), True, K))
+    return planner.explained(spark, planner.choose(_statistics(spark, d), True, K)).withColumns({"cost": F.round("cost", 6), "selectivity": F.round("selectivity", 9)})
 
 
 def calibrated_nprobe(spark, d):
@@ -403,11 +449,54 @@ def stratified_split(spark, d):
     return E.stratified_split(_rows(spark, d), "label", "position").select("position", "label", "split")
 
 
-def index_and_search(spark, d):
+def query_partitions(spark, d):
+    """A tenth of all queries for development, a twentieth for validation and a tenth for confirmation, by label."""
     rows = _rows(spark, d)
+    n = rows.count()
+    found = E.query_partitions(rows, "label", "position", {"development": n // 10, "validation": n // 20, "confirmation": n // 10})
+    return E.validated_partitions(found, "position").groupBy("partition").agg(F.count(F.lit(1)).alias("queries"), F.count_distinct("label").alias("strata"))
+
+
+def filter_selectivities(spark, d):
+    filters = _queries(spark, d).select("query_id", (F.col("query_id") % 12).cast("int").alias("label"))
+    return E.filter_selectivities(_rows(spark, d), filters)
+
+
+def _experiment(spark, d):
+    """Two measurements of each query and method, of which the last counts, from its id."""
+    i, method = F.col("vec_id"), F.element_at(F.array(*map(F.lit, ("auto", "exact", "ivf_postfilter", "filter_aware"))), (F.col("vec_id") % 4 + 1).cast("int"))
+    runs = _table(spark, d, "embeddings").crossJoin(spark.range(2).select((F.col("id") + 1).alias("repetition")))
+    return runs.select(
+        F.col("label").alias("config"), method.alias("method"), F.floor(i / 4).alias("query_index"), "repetition", F.when(method == "auto", F.when(i % 8 == 0, "exact").otherwise("filter_aware")).otherwise(method).alias("selected_method"),
+        (((i * 7919) % 1000 + 1) / 10.0 * F.col("repetition")).alias("latency_ms"), (1 - (i * 31) % 7 / 40.0).alias("recall"), (i % 11).alias("result_count"), (i % 101).alias("candidates_visited"), (i % 53).alias("candidates_scored"), (i % 5).alias("lists_probed"),
+    )
+
+
+EXPERIMENT = """WITH x AS (SELECT label AS config, ['auto', 'exact', 'ivf_postfilter', 'filter_aware'][vec_id % 4 + 1] AS method, CASE WHEN vec_id % 4 <> 0 THEN ['auto', 'exact', 'ivf_postfilter', 'filter_aware'][vec_id % 4 + 1] WHEN vec_id % 8 = 0 THEN 'exact' ELSE 'filter_aware' END AS selected_method,
+((vec_id * 7919) % 1000 + 1) / 10.0::DOUBLE * 2 AS latency_ms, 1 - (vec_id * 31) % 7 / 40.0::DOUBLE AS recall, vec_id % 11 AS r, vec_id % 101 AS v, vec_id % 53 AS s, vec_id % 5 AS l FROM embeddings)"""
+MEANS = "round(avg(recall), 9) AS average_recall, round(avg(r), 9) AS average_results, round(avg(v), 9) AS average_candidates_visited, round(avg(s), 9) AS average_candidates_scored, round(avg(l), 9) AS average_lists_probed, quantile_disc(latency_ms, 0.5) AS p50_ms, quantile_disc(latency_ms, 0.95) AS p95_ms"
+
+
+def _rounded(df):
+    return df.select(*(F.round(c, 9).alias(c) if c.startswith(("average_", "planner_", "claim_speed")) else c for c in df.columns))
+
+
+def benchmark_summary(spark, d):
+    return _rounded(E.benchmark_summary(E.last_measurements(_experiment(spark, d), ["config", "method", "query_index"])))
+
+
+def experiment_summary(spark, d):
+    return _rounded(E.experiment_summary(E.last_measurements(_experiment(spark, d), ["config", "method", "query_index"]), ["config"], 0.9))
+
+
+def index_and_search(spark, d):
+    """A trained index, searched with the fewest probes whose curve over the queries reaches a recall of 0.9."""
+    rows, q = _rows(spark, d).cache(), _queries(spark, d)
     matrix = ivf.trained(rows, 8, 10)
-    placed = ivf.assigned_fast(rows, matrix)
-    return _found(search.ivf(placed, ivf.centroid_table(spark, matrix), _queries(spark, d), K, 4))
+    placed, centroids = ivf.assigned_fast(rows, matrix).cache(), ivf.centroid_table(spark, matrix)
+    curve = E.probe_curve(placed, centroids, q, E.ground_truth(rows, q, None, K, fast=True), list(range(1, 9)))
+    enough = [r["nprobe"] for r in curve.groupBy("nprobe").agg(F.avg("truth_list_recall").alias("r")).where("r >= 0.9").collect()]
+    return _found(search.ivf(placed, centroids, q, K, min(enough, default=8)))
 
 
 _WHERES = {
@@ -434,6 +523,7 @@ def queries():
         "pareto_frontier": lambda s, d: E.pareto_frontier(_points(s, d)), "best_at_recall": lambda s, d: E.best_at_recall(_points(s, d), 0.9), "conservative_at_recall": lambda s, d: E.conservative_at_recall(_points(s, d), 0.9),
         "experiment_rollup": rollup, "claim_rollup": claims, "hybrid_stitch": hybrid, "gini_list_sizes": gini_sizes, "index_diagnostics": index_report, "semantic_search_stub": semantic_search,
         "kmeans_train": kmeans_train, "bootstrap_ci": bootstrap_ci, "stratified_split": stratified_split, "index_and_search": index_and_search,
+        "query_partitions": query_partitions, "filter_selectivities": filter_selectivities, "benchmark_summary": benchmark_summary, "experiment_summary": experiment_summary,
     }
 
 
@@ -462,6 +552,14 @@ def oracle_sql():
         "rank_filter_aware": f"{INDEX}{_sql_aware(8, 2)} SELECT query_id, list_id, round(mark, 9) AS mark, list_rank::INTEGER AS list_rank FROM aw",
         "filter_aware_search": _sql_probe("a.label IN (1, 3, 5)", "SELECT query_id, list_id, list_rank FROM aw", more=_sql_aware(8, 2)), "filter_aware_adaptive": _sql_probe("a.label IN (1, 3, 5)", ADAPTIVE, more=_sql_aware(24, 6)),
         "list_score_bounds": f"{INDEX}{BOUNDS} SELECT query_id, list_id, matches, round(bound, 6) AS bound FROM b", "bound_search": _sql_batch("label IN (1, 3, 5)"), "bound_search_progressive": _sql_batch("label IN (1, 3, 5)"),
+        "bound_search_stats": f"{INDEX}{BOUNDS}, {STOPS}", "plan_costs": f"{INDEX}{PLAN} SELECT strategy, round(cost, 6) AS cost FROM pc",
+        "plan_choice": f"{INDEX}{PLAN} SELECT CASE WHEN strategy = 'exact' THEN 'prefilter_exact' ELSE strategy END AS strategy, 'least cost' AS reason, round(cost, 6) AS cost, round(share, 9) AS selectivity, low::INTEGER AS nprobe, high::INTEGER AS max_nprobe FROM pc WHERE o < 5 ORDER BY cost, o LIMIT 1",
+        "stratified_split": "SELECT vec_id AS position, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id), vec_id) <= floor(count(*) OVER (PARTITION BY label) * 0.5) THEN 'train' ELSE 'test' END AS split FROM embeddings",
+        "filter_selectivities": "SELECT f.vec_id AS query_id, (f.vec_id % 12)::INTEGER AS label, coalesce((SELECT count(*) FROM embeddings e WHERE e.label = f.vec_id % 12) / (SELECT count(*) FROM embeddings), 0) AS selectivity FROM embeddings f WHERE f.vec_id % 20 = 0",
+        "benchmark_summary": f"{EXPERIMENT} SELECT method, {MEANS} FROM x GROUP BY method",
+        "experiment_summary": f"""{EXPERIMENT}, g AS (SELECT config, method, {MEANS}, avg(recall) AS rc, string_agg(DISTINCT selected_method, ',' ORDER BY selected_method) AS executed_methods FROM x GROUP BY config, method),
+        o AS (SELECT config, min_by(method, p95_ms) FILTER (method <> 'auto' AND rc >= 0.9) AS oracle_method, round(max(p95_ms) FILTER (method = 'auto') / min(p95_ms) FILTER (method <> 'auto' AND rc >= 0.9), 9) AS planner_regret, max(p95_ms) FILTER (method = 'ivf_postfilter') / max(p95_ms) FILTER (method = 'filter_aware') AS su FROM g GROUP BY config)
+        SELECT g.* EXCLUDE (rc), oracle_method, planner_regret, round(su, 9) AS claim_speed_up, coalesce(su >= 1.15, false) AS claim_passed FROM g JOIN o USING (config)""",
         "latest_wins_view": f"{HISTORY} SELECT vec_id, label, revision FROM n WHERE op = 'PUT'", "visible_ids": f"{HISTORY} SELECT vec_id FROM n WHERE op = 'PUT'", "tombstone_anti_join": "SELECT vec_id, label FROM embeddings WHERE vec_id % 7 <> 0",
         "segment_merge_topk": _sql_batch().replace("ORDER BY score DESC, position", "ORDER BY score DESC, position % 3, position"),
         "maintenance_counts": f"{HISTORY} SELECT count(*) FILTER (op = 'PUT' AND revision = 1) AS base, count(*) FILTER (op = 'PUT' AND revision > 1) AS delta, count(*) FILTER (op = 'DELETE') AS tombstones FROM n",

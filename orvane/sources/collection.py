@@ -20,7 +20,7 @@ import os
 import shutil
 import threading
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -62,6 +62,7 @@ class Manifest:
     nlists: int = 0
     segments: list = field(default_factory=list)  # [first revision, last revision] of sealed segments
     generation: int = 0
+    base: int = 1  # the first revision that counts: compaction writes a new one
 
 
 class Collection:
@@ -70,6 +71,7 @@ class Collection:
     def __init__(self, spark: SparkSession, path: str, manifest: Manifest, writable: bool, maintenance: Maintenance = Maintenance()):  # noqa: B008
         self.spark, self.path, self.manifest, self.maintenance = spark, path, manifest, maintenance
         self._lock, self._thread, self.plans, self.hooks = None, threading.RLock(), planner.PlanCache(), {}
+        self._operations, self._bytes = 0, 0  # since the last manifest
         if writable:
             self._lock = open(f"{path}/writer.lock", "w")  # noqa: SIM115
             try:
@@ -121,13 +123,13 @@ class Collection:
         return Manifest(**held["body"])
 
     def _recovered(self) -> Collection:
-        found = sorted(int(x) for x in os.listdir(f"{self.path}/revisions") if x.isdigit())
+        found = sorted(int(x) for x in os.listdir(f"{self.path}/revisions") if x.isdigit() and int(x) >= self.manifest.base)
         for x in os.listdir(f"{self.path}/revisions"):
             if not x.isdigit() and self._lock:
                 shutil.rmtree(f"{self.path}/revisions/{x}")  # torn
-        if found and found != list(range(found[0], found[-1] + 1)):
+        if found and found != list(range(self.manifest.base, found[-1] + 1)):
             raise ValueError("revisions have a gap")
-        if found and found[-1] < self.manifest.revision:
+        if (found[-1] if found else 0) < self.manifest.revision:
             raise ValueError("revisions lie behind the manifest")
         self.manifest.revision = max(self.manifest.revision, found[-1] if found else 0)
         return self
@@ -139,26 +141,65 @@ class Collection:
             os.fsync(f.fileno())
         os.replace(f"{self.path}/CURRENT.new", f"{self.path}/CURRENT")
 
-    def _publish(self, retain: int = 2) -> None:
+    def _manifests(self) -> list[str]:
+        """The names of the kept manifests, newest first."""
+        return sorted((x for x in os.listdir(self.path) if x.startswith("manifest-") and x.endswith(".json")), key=lambda x: -int(x[9:-5]))
+
+    def _sweep(self) -> None:
+        """Remove revisions and indexes that no kept manifest needs."""
+        bodies = [json.load(open(f"{self.path}/{x}"))["body"] for x in self._manifests()]
+        first, named = min([self.manifest.base, *(b.get("base", 1) for b in bodies)]), {self.manifest.index, *(b["index"] for b in bodies)}
+        for x in os.listdir(f"{self.path}/revisions"):
+            if x.isdigit() and int(x) < first:
+                self._hook("before_remove")
+                shutil.rmtree(f"{self.path}/revisions/{x}")
+        for x in os.listdir(self.path):
+            if x.startswith("index-") and x not in named:
+                shutil.rmtree(f"{self.path}/{x}")
+
+    def _hook(self, name: str) -> None:
+        self.hooks.get(name, lambda: None)()
+
+    def _digests(self, folders: list[str]) -> dict[str, str]:
+        """SHA-256 of every data file, reckoned by the executors."""
+        out = {}
+        for d in folders:
+            each = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{self.path}/{d}")
+            for r in each.select("path", F.sha2("content", 256).alias("sha")).toLocalIterator():
+                out[r["path"].split(f"{self.path}/", 1)[1]] = r["sha"]
+        return out
+
+    def _publish(self, retain: int = 2, digests: bool = False) -> None:
+        self._hook("before_manifest")
         self.manifest.generation += 1
         name, body = f"manifest-{self.manifest.generation}.json", dict(self.manifest.__dict__)
-        folders = [f"revisions/{r}" for r in range(1, self.manifest.revision + 1) if os.path.isdir(f"{self.path}/revisions/{r}")] + ([self.manifest.index] if self.manifest.index else [])
+        folders = [f"revisions/{r}" for r in range(self.manifest.base, self.manifest.revision + 1) if os.path.isdir(f"{self.path}/revisions/{r}")] + ([self.manifest.index] if self.manifest.index else [])
         files = {d: {os.path.relpath(os.path.join(top, x), f"{self.path}/{d}"): os.path.getsize(os.path.join(top, x)) for top, _, names in os.walk(f"{self.path}/{d}") for x in names if not x.endswith(".crc")} for d in folders}
         with open(f"{self.path}/{name}.new", "w") as f:
-            json.dump({"body": body, "sha256": hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest(), "files": files}, f)
+            json.dump({"body": body, "sha256": hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest(), "files": files, "digests": self._digests(folders) if digests else {}}, f)
             f.flush()
             os.fsync(f.fileno())
         os.replace(f"{self.path}/{name}.new", f"{self.path}/{name}")
+        self._hook("before_current")
         self._point(name)
-        old = sorted((x for x in os.listdir(self.path) if x.startswith("manifest-") and x.endswith(".json")), key=lambda x: -int(x[9:-5]))
-        for x in old[retain + 1 :]:
+        self._operations = self._bytes = 0
+        for x in self._manifests()[retain + 1 :]:
             os.remove(f"{self.path}/{x}")
 
-    def save(self, retain: int = 2) -> None:
-        """Publish a manifest of the present state."""
+    def save(self, retain: int = 2, digests: bool = True) -> None:
+        """Publish a manifest of the present state, with the files' sizes and SHA-256."""
         with self._thread:
             self._writable()
-            self._publish(retain)
+            self._publish(retain, digests)
+            self._sweep()
+
+    def verify(self) -> None:
+        """Raise if a file's SHA-256 is not what the newest manifest says."""
+        held = json.load(open(f"{self.path}/{self._manifests()[0]}"))
+        known = held["digests"]
+        found = self._digests(list(held["files"])) if known else {}
+        if bad := [x for x, digest in known.items() if found.get(x) != digest]:
+            raise ValueError(f"{bad[0]} is damaged")
 
     def close(self) -> None:
         if self._lock:
@@ -171,8 +212,8 @@ class Collection:
 
     # -- views ------------------------------------------------------------------------
 
-    def _log(self, first: int = 1) -> DataFrame:
-        paths = [f"{self.path}/revisions/{r}" for r in range(first, self.manifest.revision + 1) if os.path.isdir(f"{self.path}/revisions/{r}")]
+    def _log(self) -> DataFrame:
+        paths = [f"{self.path}/revisions/{r}" for r in range(self.manifest.base, self.manifest.revision + 1) if os.path.isdir(f"{self.path}/revisions/{r}")]
         if not paths:
             return self.spark.createDataFrame([], f"{MUTATION}, revision long")
         each = self.spark.read.schema(MUTATION).parquet(*paths)
@@ -205,12 +246,16 @@ class Collection:
         revision = self.manifest.revision + 1
         draft = f"{self.path}/revisions/draft-{uuid.uuid4().hex}"
         batch.select("op", "id", "vector", "metadata", "ordinal").write.parquet(draft)
-        self.hooks.get("before_rename", lambda: None)()
+        self._hook("before_rename")
         os.rename(draft, f"{self.path}/revisions/{revision}")
         self.manifest.revision = revision
         self.plans.clear()
         try:
-            self.hooks.get("after_rename", lambda: None)()
+            self._hook("after_rename")
+            self._operations += batch.count()
+            self._bytes += sum(os.path.getsize(os.path.join(top, x)) for top, _, names in os.walk(f"{self.path}/revisions/{revision}") for x in names)
+            if self._operations >= self.maintenance.checkpoint_operations or self._bytes >= self.maintenance.checkpoint_bytes:
+                self._publish()
             done = revision - max([self.manifest.index_revision or 0, *(s[1] for s in self.manifest.segments)])
             if self.maintenance.max_active and done and self.counts()["delta"] >= self.maintenance.max_active:
                 self.seal()
@@ -223,8 +268,17 @@ class Collection:
         body = F.to_json(F.struct(*extra)) if extra else F.lit("{}")
         return rows.select(F.lit("PUT").alias("op"), F.col("id").cast("string").alias("id"), F.col("vector").cast("array<float>").alias("vector"), body.alias("metadata"), F.col("vector").alias("_raw"), F.monotonically_increasing_id().alias("_at"))
 
+    def _with_ids(self, rows: DataFrame) -> DataFrame:
+        """Rows without ids get numbers: from one more than the live rows on, without those in use."""
+        rows = rows.withColumn("_at", F.monotonically_increasing_id()).cache()
+        n, live, used = rows.count(), len(self), self.ids().where(F.col("id").rlike("^[1-9][0-9]{0,17}$"))
+        taken = used.where(F.col("id").cast("long") > live)
+        free = self.spark.range(live + 1, live + 1 + n + taken.count()).select(F.col("id").cast("string").alias("id")).join(taken, "id", "left_anti")
+        free = free.withColumn("_k", F.row_number().over(Window.orderBy(F.col("id").cast("long"))))
+        return rows.withColumn("_k", F.row_number().over(Window.orderBy("_at"))).join(free, "_k").orderBy("_k").drop("_k", "_at")
+
     def _checked(self, rows: DataFrame) -> DataFrame:
-        batch = self._batch(rows)
+        batch = self._batch(rows if "id" in rows.columns else self._with_ids(rows))
         batch = batch.withColumn("ordinal", F.row_number().over(Window.orderBy("_at")).cast("long")).cache()
         bad = batch.agg(F.count_if(~admissible(F.col("_raw"), self.manifest.dim, self.manifest.metric)).alias("v"), F.count_if(F.col("id").isNull()).alias("i"), (F.count(F.lit(1)) - F.count_distinct("id")).alias("d"), F.count(F.lit(1)).alias("n")).first()
         if bad["v"]:
@@ -236,7 +290,7 @@ class Collection:
         return batch
 
     def insert(self, rows: DataFrame) -> int:
-        """Add new rows (id, vector, metadata...), all or none."""
+        """Add new rows (vector, metadata... and id, else ids are made), all or none."""
         with self._thread:
             self._writable()
             batch = self._checked(rows)
@@ -295,9 +349,11 @@ class Collection:
             placed.write.partitionBy("list_id").parquet(f"{self.path}/{name}/rows")
             held = self.spark.read.parquet(f"{self.path}/{name}/rows")
             ivf.list_statistics(held, ivf.centroid_table(self.spark, matrix), self.manifest.metric).coalesce(1).write.parquet(f"{self.path}/{name}/centroids")
+            self._hook("index_written")
             self.manifest.index, self.manifest.index_revision, self.manifest.nlists = name, seen, nlists
             self.plans.clear()
             self._publish()
+            self._sweep()
 
     def seal(self) -> None:
         """Close the active segment: the revisions since the last one."""
@@ -306,23 +362,28 @@ class Collection:
             self.manifest.segments.append([last + 1, self.manifest.revision])
 
     def compact(self) -> None:
-        """Rewrite the live rows as one revision and index them anew with as many lists."""
+        """Rewrite the live rows as one revision and index them anew with as many lists.
+
+        The new revision holds every live row, so the collection is whole
+        whether or not the manifest that begins with it is published; what came
+        before is removed only when no kept manifest needs it.
+        """
         with self._thread:
             self._writable()
             rows = self.rows().drop("norm", "indexed").orderBy("position")
             extra = [c for c in rows.columns if c not in ("id", "vector", "position", "revision")]
             body = F.to_json(F.struct(*extra)) if extra else F.lit("{}")
             whole = rows.select(F.lit("PUT").alias("op"), "id", "vector", body.alias("metadata"), F.row_number().over(Window.orderBy("position")).cast("long").alias("ordinal"))
-            first = self.manifest.revision
             self._commit(whole)
-            for r in range(1, first + 1):
-                shutil.rmtree(f"{self.path}/revisions/{r}", ignore_errors=True)
+            self._hook("compact_written")
             lists, self.manifest.index, self.manifest.index_revision, self.manifest.segments = self.manifest.nlists, None, None, []
+            self.manifest.base = self.manifest.revision
             n = len(self)
             if lists and n:
                 self.build(min(lists, n))
             else:
                 self._publish()
+                self._sweep()
 
     def counts(self) -> dict:
         seen = self.manifest.index_revision or 0
@@ -345,10 +406,38 @@ class Collection:
             self.compact()
         return due
 
-    def maintain_in_background(self) -> threading.Thread:
-        worker = threading.Thread(target=self.maintain, daemon=True)
-        worker.start()
-        return worker
+    def configure_maintenance(self, **settings) -> None:
+        self.maintenance = replace(self.maintenance, **settings)
+
+    def maintain_in_background(self, retries: int = 2, save: bool = False) -> threading.Thread:
+        """Compact if it is due, in a thread, trying again after a failure; errors are kept for :meth:`wait_for_maintenance`."""
+        self._errors = []
+
+        def work() -> None:
+            for _ in range(retries + 1):
+                try:
+                    if self.maintain() and save:
+                        self.save()
+                    return
+                except Exception as e:  # noqa: BLE001
+                    self._errors.append(e)
+
+        self._worker = threading.Thread(target=work, daemon=True)
+        self._retries = retries
+        self._worker.start()
+        return self._worker
+
+    def wait_for_maintenance(self, timeout: float | None = None) -> int:
+        """Wait for the thread; gives the number of failed tries, and raises the last error if all failed."""
+        worker = getattr(self, "_worker", None)
+        if worker is None:
+            return 0
+        worker.join(timeout)
+        if worker.is_alive():
+            raise TimeoutError("maintenance has not ended")
+        if len(self._errors) > self._retries:
+            raise self._errors[-1]
+        return len(self._errors)
 
     def info(self) -> DataFrame:
         c, m = self.counts(), self.manifest
@@ -393,6 +482,14 @@ class Collection:
         if not bad.isEmpty():
             raise ValueError("a query is not admissible")
         where, metric = normalized(where), self.manifest.metric
+        if strategy != "auto":
+            name = planner.strategy(strategy)
+            if name not in ("exact", "prefilter_exact") and not self.is_built:
+                raise ValueError(f"{name} needs an index; build one first")
+            if name in ("ivf_prefilter", "ivf_postfilter", "filter_aware", "filter_aware_bound") and where is None:
+                raise ValueError(f"{name} needs a filter")
+            if name == "filter_aware_bound" and metric != "cosine":
+                raise ValueError("bounds hold for cosine only")
         p = self.plan(where, k, strategy, config)
         rows = self.rows()
         if not self.is_built or p.strategy in ("exact", "prefilter_exact"):

@@ -69,8 +69,94 @@ def read_fvecs(spark: SparkSession, path: str, limit: int | None = None, normali
 
 
 def read_ivecs(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(position, vector of zero-based ids) of an ``.ivecs`` file."""
-    return _records(spark, path, "int", limit)
+    """(position, vector of zero-based ids) of an ``.ivecs`` file; records may differ in width.
+
+    Widths stand in the records' headers only, so the driver walks these and
+    keeps one row for each ``PART`` bytes, which tasks then decode.
+    """
+    fs, at = _open(path)
+    size, parts, here, n = fs.get_file_info(at).size, [], 0, 0
+    with fs.open_input_file(at) as f:
+        begin, first = 0, 0
+        while here < size and (limit is None or n < limit):
+            if here + 4 > size:
+                raise ValueError(f"{path} ends within a record")
+            dim = struct.unpack("<i", f.read_at(4, here))[0]
+            here, n = here + 4 + 4 * dim, n + 1
+            if dim < 0 or here > size:
+                raise ValueError(f"{path} ends within a record")
+            if here - begin >= PART:
+                parts.append((begin, here, first))
+                begin, first = here, n
+        if here > begin:
+            parts.append((begin, here, first))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = _open(path)
+        with fs.open_input_file(at) as f:
+            for batch in batches:
+                for a, b, first in zip(*(batch[c].to_pylist() for c in ("begin", "stop", "first")), strict=True):
+                    raw, out, k = np.frombuffer(f.read_at(b - a, a), "<i4"), [], 0
+                    while k < len(raw):
+                        out.append(raw[k + 1 : k + 1 + raw[k]])
+                        k += 1 + raw[k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(out))), pa.array(out, pa.list_(pa.int32()))], names=["position", "vector"])
+
+    ranges = spark.createDataFrame(parts, "begin long, stop long, first long").repartition(max(1, len(parts)), "begin")
+    return ranges.mapInArrow(read, "position long, vector array<int>")
+
+
+def read_raw(spark: SparkSession, path: str, dim: int, limit: int | None = None) -> DataFrame:
+    """(position, vector) of a raw matrix of 32-bit floats, row by row, read in ranges by many tasks."""
+    fs, at = _open(path)
+    size, width = fs.get_file_info(at).size, 4 * dim
+    if size % width:
+        raise ValueError(f"{path} is not made of rows of {dim} values")
+    n = size // width if limit is None else min(limit, size // width)
+    step = max(1, PART // width)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = _open(path)
+        with fs.open_input_file(at) as f:
+            for batch in batches:
+                for a, m in zip(batch["start"].to_pylist(), batch["n"].to_pylist(), strict=True):
+                    values = np.frombuffer(f.read_at(m * width, a * width), "<f4")
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * dim), pa.array(values))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + m)), lists], names=["position", "vector"])
+
+    ranges = spark.createDataFrame([(a, min(step, n - a)) for a in range(0, n, step)], "start long, n long").repartition(max(1, -(-n // step)), "start")
+    return ranges.mapInArrow(read, "position long, vector array<float>")
+
+
+def append_raw(df: DataFrame, path: str, normalize: bool = True, column: str = "vector") -> int:
+    """Append the vectors, in order of ``position``, to a raw matrix; gives its new number of bytes.  Through the driver, row by row."""
+    from ..functions.vectors import normalized
+
+    values = normalized(F.col(column)).cast("array<float>") if normalize else F.col(column)
+    with open(path, "ab") as f:
+        for r in df.orderBy("position").select(values).toLocalIterator():
+            f.write(np.array(r[0], "<f4").tobytes())
+        return f.tell()
+
+
+def dataset_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, bytes, sha256) of the files of a data set, reckoned by the tasks that read them."""
+    each = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return each.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def load_bundle(spark: SparkSession, folder: str, manifest: DataFrame, files: dict[str, str], limit: int | None = None) -> dict[str, DataFrame]:
+    """The vectors, queries, truth and attributes of a data set whose files are what ``manifest`` says.
+
+    ``files`` names the file of each part: ``base`` and ``queries`` are
+    ``.fvecs``, ``truth`` is ``.ivecs`` and ``attributes`` JSON lines.
+    """
+    found = dataset_manifest(spark, folder)
+    wrong = manifest.join(found.withColumnsRenamed({"bytes": "_b", "sha256": "_s"}), "file", "left").where("_b is null or _b <> bytes or _s <> sha256")
+    if bad := wrong.select("file").first():
+        raise ValueError(f"{bad[0]} is absent or damaged")
+    readers = {"base": lambda p: read_fvecs(spark, p, limit), "queries": lambda p: read_fvecs(spark, p), "truth": lambda p: read_ivecs(spark, p), "attributes": lambda p: read_attributes(spark, p)}
+    return {part: readers[part](f"{folder}/{name}") for part, name in files.items()}
 
 
 def write_vecs(df: DataFrame, path: str, column: str = "vector", kind: str = "float") -> None:

@@ -2,6 +2,9 @@ import json
 import os
 import random
 
+import hashlib
+
+import numpy as np
 import pytest
 
 from orvane.sources.collection import Collection, CommittedError, Maintenance
@@ -135,3 +138,131 @@ def test_files(spark, tmp_path):
     assert files.read_attributes(spark, str(tmp_path / "a.jsonl")).first()["license"] == "unspecified"
     files.write_tsv(spark.createDataFrame([("a\tb", 1)], ["s", "n"]), str(tmp_path / "tsv"))
     assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "tsv")).first()["s"] == "a b"
+
+
+HOOKS = ["before_rename", "after_rename", "compact_written", "index_written", "before_manifest", "before_current", "before_remove"]
+
+
+@pytest.mark.parametrize("hook", HOOKS)
+def test_a_crash_in_compaction_loses_nothing(spark, tmp_path, hook):
+    path = str(tmp_path / "c")
+    c = made(spark, path)
+    c.insert(frame(spark, [(f"r{i}", (1, i), "x", i) for i in range(6)]))
+    c.build(2, iterations=2)
+    c.delete(["r0"])
+    c.upsert(frame(spark, [("r1", (2, 2), "y", 100)]))
+    c.save(retain=0)
+    want = {x["id"]: x["n"] for x in c.rows().collect()}
+
+    def crash():
+        raise OSError("crash")
+
+    c.hooks[hook] = crash
+    with pytest.raises((OSError, RuntimeError)):
+        c.compact()
+        c.save(retain=0)  # before_remove: only what no manifest needs goes
+    c.close()
+    again = Collection.load(spark, path)
+    assert {x["id"]: x["n"] for x in again.rows().collect()} == want
+    again.close()
+    again = Collection.recover(spark, path)
+    assert {x["id"]: x["n"] for x in again.rows().collect()} == want
+    again.check()
+    again.insert(frame(spark, [("later", (1, 1), "z", 7)]))
+    again.compact()
+    assert len(again) == len(want) + 1
+    again.close()
+
+
+def test_retained_manifests_open_after_compaction(spark, tmp_path):
+    path = str(tmp_path / "c")
+    c = made(spark, path)
+    for k in range(3):
+        c.insert(frame(spark, [(f"r{k}", (1, k), "x", k)]))
+        c.save(retain=2)
+    c.compact()
+    want = {x["id"]: x["n"] for x in c.rows().collect()}
+    names = c._manifests()
+    assert len(names) == 3
+    for name in names:
+        old = Collection(spark, path, Collection._read(path, name), False)._recovered()
+        assert {x["id"]: x["n"] for x in old.rows().collect()} == want
+    c.save(retain=0)
+    import os
+
+    assert [x for x in os.listdir(f"{path}/revisions") if x.isdigit()] == ["4"]
+    c.verify()
+    file = next(os.path.join(top, x) for top, _, found in os.walk(f"{path}/revisions/4") for x in found if x.endswith(".parquet"))
+    size = os.path.getsize(file)
+    os.remove(os.path.join(os.path.dirname(file), f".{os.path.basename(file)}.crc"))
+    with open(file, "r+b") as f:
+        f.seek(size // 2)
+        f.write(bytes([f.read(1)[0] ^ 255]))
+    with pytest.raises(ValueError):
+        c.verify()
+    c.close()
+
+
+def test_made_ids_checkpoints_and_forced_strategies(spark, tmp_path):
+    c = made(spark, tmp_path / "c")
+    c.configure_maintenance(checkpoint_operations=3)
+    c.insert(frame(spark, [("2", (1, 0), "x", 1), ("4", (0, 1), "y", 2)]))
+    assert c.manifest.generation == 1
+    c.insert(frame(spark, [("-", (1, 1), "x", 3), ("-", (1, 2), "x", 4)]).drop("id"))
+    assert sorted(x["id"] for x in c.ids().collect()) == ["2", "3", "4", "5"]  # from three on; four is in use
+    assert c.manifest.generation == 2, "four operations publish a manifest"
+    for name in ("ivf", "ivf_prefilter", "filter_aware", "filter_aware_bound"):
+        with pytest.raises(ValueError, match="index"):
+            c.search([[1, 0]], strategy=name)
+    c.build(2, iterations=2)
+    with pytest.raises(ValueError, match="filter"):
+        c.search([[1, 0]], strategy="filter_aware")
+    c.close()
+
+
+def test_background_maintenance_tries_again(spark, tmp_path):
+    c = made(spark, tmp_path / "c")
+    c.configure_maintenance(min_changes=1, max_delta=1)
+    c.insert(frame(spark, [("a", (1, 0), "x", 1)]))
+    left = [OSError("once")]
+
+    def once():
+        if left:
+            raise left.pop()
+
+    c.hooks["compact_written"] = once
+    c.maintain_in_background(retries=2, save=True)
+    assert c.wait_for_maintenance(120) == 1
+    assert c.manifest.base > 1 and len(c) == 1
+    c.hooks["compact_written"] = lambda: (_ for _ in ()).throw(OSError("always"))
+    c.maintain_in_background(retries=1)
+    with pytest.raises(OSError, match="always"):
+        c.wait_for_maintenance(120)
+    c.close()
+
+
+def test_varying_ivecs_raw_matrices_and_bundles(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "PART", 40)
+    lists = [[1, 2, 3], [], [9], list(range(30)), [4, 4]]
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data/t.ivecs").write_bytes(b"".join(np.array([len(x), *x], "<i4").tobytes() for x in lists))
+    read = files.read_ivecs(spark, str(tmp_path / "data/t.ivecs"))
+    assert [r["vector"] for r in read.orderBy("position").collect()] == lists
+    (tmp_path / "torn.ivecs").write_bytes(np.array([3, 1], "<i4").tobytes())
+    with pytest.raises(ValueError):
+        files.read_ivecs(spark, str(tmp_path / "torn.ivecs"))
+    df = spark.createDataFrame([(i, [3.0 * (i + 1), 4.0 * (i + 1)]) for i in range(9)], "position long, vector array<float>")
+    raw = str(tmp_path / "m.f32")
+    assert files.append_raw(df, raw) == 72 and files.append_raw(df, raw, normalize=False) == 144
+    back = [r["vector"] for r in files.read_raw(spark, raw, 2).orderBy("position").collect()]
+    assert np.allclose(back[:9], [[0.6, 0.8]] * 9) and back[10] == [6.0, 8.0]
+    files.write_vecs(df, str(tmp_path / "data/v.fvecs"))
+    manifest = files.dataset_manifest(spark, str(tmp_path / "data"))
+    held = {r["file"]: (r["bytes"], r["sha256"]) for r in manifest.collect()}
+    assert held["v.fvecs"] == (108, hashlib.sha256((tmp_path / "data/v.fvecs").read_bytes()).hexdigest())
+    manifest = spark.createDataFrame([(k, *v) for k, v in held.items()], "file string, bytes long, sha256 string")
+    found = files.load_bundle(spark, str(tmp_path / "data"), manifest, {"base": "v.fvecs", "truth": "t.ivecs"}, limit=4)
+    assert found["base"].count() == 4 and found["truth"].count() == 5
+    (tmp_path / "data/v.fvecs").write_bytes(b"\0" * 108)
+    with pytest.raises(ValueError, match="v.fvecs"):
+        files.load_bundle(spark, str(tmp_path / "data"), manifest, {"base": "v.fvecs"})

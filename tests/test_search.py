@@ -154,3 +154,50 @@ def test_small_evaluation_pieces(spark):
     assert len(E.timed(lambda: None)) == 2
     split = E.stratified_split(spark.range(20).withColumn("s", F.col("id") % 2), "s", "id")
     assert {(r["s"], r["split"]): r["count"] for r in split.groupBy("s", "split").count().collect()} == {(0, "train"): 5, (0, "test"): 5, (1, "train"): 5, (1, "test"): 5}
+
+
+def test_assignment_keeps_repeated_rows_and_agrees(spark):
+    """Both assignments agree, with ties to the lower list, and rows that are all alike stay."""
+    import numpy as np
+
+    from orvane.operators import ivf
+
+    r = np.random.default_rng(2)
+    rows = [(i // 2, [float(x) for x in r.normal(size=4)]) for i in range(60)] + [(7, [1.0, 0.0, 0.0, 0.0])] * 3
+    df = spark.createDataFrame(rows, "position long, vector array<float>")
+    centroids = np.array([[1, 0, 0, 0], [1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 1], [-1, -1, 0, 0]], float)
+    slow = ivf.assigned(df, ivf.centroid_table(spark, centroids))
+    fast = ivf.assigned_fast(df, centroids)
+    key = lambda x: sorted((r["position"], r["vector"], r["list_id"], round(r["list_score"], 9)) for r in x.collect())
+    assert key(slow) == key(fast) and slow.count() == 63
+    assert slow.where("position = 7 and list_score > 0.999").select("list_id").distinct().collect()[0][0] == 0
+
+
+def test_queries_in_blocks_and_tiles(spark, monkeypatch):
+    import numpy as np
+
+    from orvane.functions.vectors import norm
+
+    r = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, [float(x) for x in r.normal(size=6)]) for i in range(80)], "position long, vector array<float>").withColumn("norm", norm(F.col("vector")))
+    q = search.query_table(spark, r.normal(size=(17, 6)).tolist())
+    want = sorted(map(tuple, search.exact(rows, q, 5).select("query_id", "rank", "position").collect()))
+    monkeypatch.setattr(search, "BLOCK_VALUES", 30)
+    monkeypatch.setattr(search, "TILE_SCORES", 50)
+    assert len(search.query_blocks(q)) == 4
+    for f in (search.exact, search.exact_fast):
+        assert sorted(map(tuple, f(rows, q, 5).select("query_id", "rank", "position").collect())) == want
+
+
+def test_a_stored_index_reads_the_probed_lists_only(spark, tmp_path):
+    """The scan of a list-partitioned index has a partition filter and pushed predicates."""
+    df = spark.range(200).selectExpr("id as position", "array(cast(id as float), 1f) as vector", "1.0d as norm", "cast(id % 7 as int) as label", "cast(id % 10 as int) as list_id")
+    df.write.partitionBy("list_id").parquet(str(tmp_path / "rows"))
+    held = spark.read.parquet(str(tmp_path / "rows"))
+    probes = spark.createDataFrame([(0, 3, 1), (0, 5, 2)], "query_id long, list_id int, list_rank int").where("list_rank <= 2")
+    q = search.query_table(spark, [[1.0, 0.0]])
+    from orvane.functions.predicates import Eq, compiled
+
+    plan = search._probed(held.where(compiled(Eq("label", 3), held.schema, settle=False)), probes, q, "cosine")._jdf.queryExecution().toString()
+    scan = next(x for x in plan.split("\n") if "FileScan parquet" in x and "list_id" in x)
+    assert "dynamicpruning" in scan.split("PartitionFilters")[1] and "EqualTo(label,3)" in scan
