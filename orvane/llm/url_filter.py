@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, table
+from .common import LOWER, UPPER, table, written
 
 #: Public suffixes of two labels that are common on the web.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "com.mx", "gov.uk", "org.au", "org.uk")
@@ -48,18 +48,18 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    """The public suffix: two labels for those listed, else one (port and user dropped)."""
+def suffix_of(host: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
+    """The public suffix: two labels for those in ``suffixes``, else one (port and user dropped)."""
     bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
     two = F.substring_index(bare, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(bare, ".", -1))
+    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(bare, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
+def domain_of(host: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
     """The registered domain: one label more than the suffix."""
     bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
     two = F.substring_index(bare, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(bare, ".", -3)).otherwise(two)
+    return F.when(two.isin(*suffixes), F.substring_index(bare, ".", -3)).otherwise(two)
 
 
 def with_rule(df: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -96,36 +96,40 @@ def _strength(children: DataFrame, parents: DataFrame, link: str) -> float:
     return min(1000.0, max(1.0, 1 / rho - 1)) if rho > 0 else 1000.0
 
 
-def reputations(pages: DataFrame) -> DataFrame:
-    """(host, n, x, rate, bound_low, bound_high) from rows (host, bad): every host that occurs."""
-    hosts = pages.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("x"))
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+def reputations(counts: DataFrame, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """(host, n, x, rate, sd) of every host of ``counts`` (host, n outcomes, x bad ones).
+
+    The hosts with their domains are written once; all that follows reads them.
+    """
+    hosts = written(counts.withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)}), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).withColumn("all", F.lit(0))
-    total = suffixes.groupBy("all").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).withColumn("all", F.lit(0))
+    total = tops.groupBy("all").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     whole = total.first()
     n, x = (whole["n"], whole["x"]) if whole else (0, 0)
     top = (x + 0.5) / (n + 1.0)
-    weights = [_strength(suffixes, total, "all"), _strength(domains, suffixes, "suffix"), _strength(hosts, domains, "domain")]
+    weights = [_strength(tops, total, "all"), _strength(domains, tops, "suffix"), _strength(hosts, domains, "domain")]
     rate = lambda up, w: (F.col("x") + F.lit(w) * up) / (F.col("n") + F.lit(w))
-    s = suffixes.select("suffix", rate(F.lit(top), weights[0]).alias("suffix_rate"))
+    s = tops.select("suffix", rate(F.lit(top), weights[0]).alias("suffix_rate"))
     d = domains.join(s, "suffix").select("domain", rate(F.col("suffix_rate"), weights[1]).alias("domain_rate"))
     h = hosts.join(d, "domain").withColumn("rate", rate(F.col("domain_rate"), weights[2]))
     sd = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.lit(weights[2] + 1)))
     return h.select("host", "n", "x", "rate", sd.alias("sd"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], limit: float = 0.5, z: float = 1.645) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], limit: float = 0.5, z: float = 1.645, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """Judge every row of ``pages`` (page_id, url) by ``rules`` and by ``outcomes`` (page_id, bad boolean).
 
     Gives page_id, host, path, rule, rate, bound, verdict; blocked by method
     where ``rate - z * sd > limit``.  Several outcomes of a page count each.
+    ``suffixes`` are the public suffixes of two labels; sites under one that
+    is not listed count as one domain.
     """
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     seen = outcomes.where("bad is not null").select(F.col("page_id"), F.col("bad").cast("int").alias("bad")).groupBy("page_id").agg(F.count("bad").alias("m"), F.sum("bad").alias("b"))
     labelled = urls.select("page_id", "host").join(seen, "page_id", "left")
-    each = labelled.select("host", F.explode(F.when(F.col("m").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.concat(F.array_repeat(F.lit(1), F.col("b").cast("int")), F.array_repeat(F.lit(0), (F.col("m") - F.col("b")).cast("int"))))).alias("bad"))
-    known = reputations(each).select("host", "rate", (F.col("rate") - z * F.col("sd")).alias("bound"))
+    counts = labelled.groupBy("host").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("x"))
+    known = reputations(counts, suffixes).select("host", "rate", (F.col("rate") - z * F.col("sd")).alias("bound"))
     ruled = with_rule(urls, rules).join(known, "host", "left")
     by_method = F.when(F.col("bound") > limit, "block").otherwise("allow")
     return ruled.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", by_method).alias("verdict"), "rate", "bound")
