@@ -26,7 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, lean_batches, small_batches, table, text_bytes, written
@@ -36,7 +36,7 @@ from .shared import buckets_for, classes_for, in_blocks, ordered, shared_classes
 
 WORDS = 5
 TILE = 1200
-SETS = "node long, doc_id long, mix long, n_shingles long, set_id long, group_id long, prefix array<long>, shingles binary"
+SETS = "node long, doc_id long, mix string, n_shingles long, set_id long, check long, group_id long, prefix array<long>, shingles binary"
 
 
 def shingle_sets(column: pa.Array, n: int = WORDS) -> list[np.ndarray]:
@@ -59,16 +59,21 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def _set_id(s: np.ndarray) -> int:
+def row_key(key: str, text: str) -> Column:
+    """128 bits that stand for a row's key and text."""
+    return F.md5(F.concat_ws("\x00", F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col(text)))
+
+
+def _set_id(s: np.ndarray, salt: int = 0x9E3779B97F4A7C15) -> int:
     """A 63-bit number of a set: a sum and a product over its mixed hashes."""
-    h = mixed(s + U(0x9E3779B97F4A7C15))
+    h = mixed(s + U(salt))
     whole = mixed(np.array([h.sum(dtype=np.uint64) ^ (U(len(s)) << U(40)), np.multiply.reduce(h | U(1))], np.uint64))
     return int(mixed(whole[:1] * U(3) + whole[1:])[0] >> U(1))
 
 
 def candidate_sets(docs: DataFrame, size: int) -> DataFrame:
     """All rows of (doc_id, _text) with the size of their set; those that may have partners also with set, group and prefix."""
-    blocks = in_blocks(docs.withColumn("_mix", F.xxhash64("doc_id", "_text")), size)
+    blocks = in_blocks(docs.withColumn("_mix", row_key("doc_id", "_text")), size)
     buckets = buckets_for(size // 6)
 
     def hashes_of(block: pa.Table) -> np.ndarray:
@@ -89,12 +94,24 @@ def candidate_sets(docs: DataFrame, size: int) -> DataFrame:
                 if len(s) and np.count_nonzero(own == 0) < p:
                     prefix = np.lexsort((s, own))[:p]
                     prefix = s[prefix[own[prefix] > 0]]
-                    row |= {"set_id": _set_id(s), "group_id": _set_id(np.r_[prefix, U(len(s))]), "prefix": (prefix >> U(1)).astype(np.int64), "shingles": s.astype("<u8").tobytes()}
+                    row |= {"set_id": _set_id(s), "check": _set_id(s, 0xD6E8FEB86659FD93), "group_id": _set_id(np.r_[prefix, U(len(s))]), "prefix": (prefix >> U(1)).astype(np.int64), "shingles": s.astype("<u8").tobytes()}
                 rows.append(row)
-        return pa.Table.from_pylist(rows, schema=pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("mix", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("group_id", pa.int64()), ("prefix", pa.list_(pa.int64())), ("shingles", pa.binary())]))
+        return pa.Table.from_pylist(rows, schema=pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("mix", pa.string()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("check", pa.int64()), ("group_id", pa.int64()), ("prefix", pa.list_(pa.int64())), ("shingles", pa.binary())]))
 
     answers = shared_classes(blocks, hashes_of, buckets)
-    return written(blocks.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(lean(choose), SETS), "sets")
+    sets = written(blocks.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(lean(choose), SETS), "sets")
+    sets = told_apart(sets, "set_id", F.col("check"))
+    return told_apart(sets, "group_id", F.xxhash64("n_shingles", "prefix"))
+
+
+def told_apart(sets: DataFrame, name: str, check: Column) -> DataFrame:
+    """Give other numbers to things that are not alike (by a second hash) and yet have one number: 126 bits tell them apart."""
+    clashes = sets.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(check).alias("a"), F.max(check).alias("b")).where("a <> b").select(name)
+    if clashes.isEmpty():
+        return sets
+    clashes = written(clashes.withColumn("_clash", F.lit(True)), "clashes")
+    other = F.when(F.col("_clash"), F.shiftrightunsigned(F.xxhash64(F.col(name), check), 1)).otherwise(F.col(name))
+    return written(sets.join(clashes, name, "left").withColumn(name, other).select(*sets.columns), "sets")
 
 
 def group_links(sets: DataFrame) -> DataFrame:
@@ -230,7 +247,7 @@ def joined(docs: DataFrame, size: int) -> DataFrame:
     """(node, doc_id, mix, n_shingles, component_id, stays) of rows (doc_id, _text).
 
     One row of each component stays: that of the smallest doc_id.  ``mix`` is
-    a hash of doc_id and text.
+    :func:`row_key`.
     """
     small_batches(docs.sparkSession)
     sets = candidate_sets(docs, size)
@@ -253,7 +270,7 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     size = text_bytes(keyed.select(F.col("_text").alias("text")))[1]
     found = joined(keyed.select(F.col("_id").alias("doc_id"), "_text"), size)
     kinds = written(found.groupBy("mix").agg(F.max(F.col("stays").cast("int")).alias("some"), F.min(F.col("stays").cast("int")).alias("every"), F.count(F.lit(1)).alias("n")), "stays")
-    keyed = keyed.withColumn("_mix", F.xxhash64("_id", "_text"))
+    keyed = keyed.withColumn("_mix", row_key("_id", "_text"))
     gone = kinds.where("some = 0").select(F.col("mix").alias("_mix"))
     once = kinds.where("some = 1 and n > 1 and every = 0").select(F.col("mix").alias("_mix"))
     left = keyed.join(gone, "_mix", "left_anti")

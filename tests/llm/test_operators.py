@@ -179,6 +179,14 @@ def test_jaccard(docs, rows, none, monkeypatch, tile):
     assert jaccard.joined(as_text(none), 0).count() == 0
 
 
+def test_jaccard_when_numbers_clash(docs, rows, monkeypatch):
+    """Sets and groups are numbered by 5 bits first; a second number tells them apart."""
+    whole = jaccard._set_id
+    monkeypatch.setattr(jaccard, "_set_id", lambda s, salt=None: whole(s) % 32 if salt is None else whole(s, salt))
+    got = jaccard.joined(as_text(docs), size(docs)).select("doc_id", "n_shingles", "component_id").collect()
+    assert counted((r[0], r[1], r[2]) for r in got) == counted(components(rows)[0])
+
+
 def test_jaccard_keeps_one_of_each(odd, rows, none):
     left = jaccard.deduplicated(odd)
     assert left.columns == odd.columns
