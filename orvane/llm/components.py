@@ -12,10 +12,12 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) for the nodes of (a, b) long edges; the label is the component's smallest node.
 
     Each round takes the least label among a node and its neighbours, and then
-    that label's own label; tables are written between rounds.
+    that label's own label; tables are written between rounds.  The edges are
+    written before they are turned round: reckoned twice, they may be other
+    edges of the same components.
     """
-    both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = written(both, "edges")
+    edges = written(edges.where("a <> b").select("a", "b"), "links")
+    both = written(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     for _ in range(rounds):
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))

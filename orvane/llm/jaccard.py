@@ -198,6 +198,7 @@ def verified_links(sets: DataFrame, blocks: DataFrame) -> DataFrame:
     full = placed.join(sets.select("node", "shingles"), "node").select("block", "set_id", "n_shingles", "m", "mean", "shingles")
 
     def solve(block: pa.Table) -> pa.Table:
+        block = block.sort_by("set_id")
         ids = block["set_id"].to_pylist()
         return _edges([(ids[i], ids[r]) for i, r in enumerate(united(_decoded(block["shingles"])).tolist()) if i != r])
 
@@ -231,6 +232,7 @@ def verified_links(sets: DataFrame, blocks: DataFrame) -> DataFrame:
     grid_y = lone.join(cells, ["block", "part"]).select("block", "tile", "part", "set_id", "shingles", F.lit(True).alias("lone"))
 
     def meet(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by([("lone", "ascending"), ("set_id", "ascending")])
         ids, sets_, lone_ = cell["set_id"].to_pylist(), _decoded(cell["shingles"]), cell["lone"].to_pylist()
         rest = np.array([k for k, x in enumerate(lone_) if not x], np.int64)
         tile, part, pairs = _Tile([sets_[k] for k in rest.tolist()]), np.arange(len(ids)), []

@@ -179,6 +179,24 @@ def test_jaccard(docs, rows, none, monkeypatch, tile):
     assert jaccard.joined(as_text(none), 0).count() == 0
 
 
+def test_components_of_edges_that_change_when_reckoned_again(spark):
+    """A star about another node each time is one component."""
+    from orvane.llm.components import connected
+
+    def star(batches):
+        import random
+
+        import pyarrow as pa
+
+        for batch in batches:
+            n = batch["id"].to_pylist()
+            centre = random.SystemRandom().choice(n)
+            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array([centre] * len(n))], names=["a", "b"])
+
+    found = connected(spark.range(0, 40, 1, 2).mapInArrow(star, "a long, b long")).collect()
+    assert sorted((r["node"], r["label"]) for r in found) == [(k, 0 if k < 20 else 20) for k in range(40)]
+
+
 def test_jaccard_when_numbers_clash(docs, rows, monkeypatch):
     """Sets and groups are numbered by 5 bits first; a second number tells them apart."""
     whole = jaccard._set_id
