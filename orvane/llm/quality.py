@@ -103,9 +103,9 @@ def fitted(counts: dict[int, int], n_rules: int, rounds: int = 200) -> tuple[dic
     """
     votes = {p: [(k, d == 2) for k, d in enumerate(_digits(p, n_rules)) if d] for p in counts}
     post = {}
-    for p, v in votes.items():  # the majority; without a bad vote nearly sure
+    for p, v in votes.items():  # the majority, where a bad vote, which is the rarer one, counts twice; without one nearly sure
         bad = sum(against for _, against in v)
-        post[p] = (1 + len(v) - bad) / (2 + len(v)) if bad else 0.95
+        post[p] = (1 + len(v) - bad) / (2 + len(v) + bad) if bad else 0.95
     total, good, bad, share = sum(counts.values()), [PRIOR_GOOD] * n_rules, [PRIOR_BAD] * n_rules, 0.8
     for _ in range(rounds):
         right, cast = [[PRIOR * PRIOR_BAD] * n_rules, [PRIOR * PRIOR_GOOD] * n_rules], [[PRIOR] * n_rules, [PRIOR] * n_rules]

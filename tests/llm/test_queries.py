@@ -134,7 +134,7 @@ def test_op7(spark, sf_dir, rows):
         seen.append((key, text, len(w), sum(map(len, w)), symbols, dup, len(covered), failed, vote))
     v = np.array([x[-1] for x in seen])
     good, bad = v == 1, v == 2
-    post = np.where(bad.any(1), (1 + good.sum(1)) / (2 + good.sum(1) + bad.sum(1)), 0.95)
+    post = np.where(bad.any(1), (1 + good.sum(1)) / (2 + good.sum(1) + 2 * bad.sum(1)), 0.95)
     for _ in range(200):
         share = (post.sum() + 8) / (len(post) + 10)
         g = ((post[:, None] * good).sum(0) + 18) / ((post[:, None] * (good | bad)).sum(0) + 20)
