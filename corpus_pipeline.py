@@ -44,7 +44,7 @@ STAGES = [
     ("packed_windows", packed_windows),
 ]
 
-#: SQL cannot express the packing; the stages are tested against brute force.
+#: SQL cannot express the packing; the operators are tested against brute force in tests/llm.
 ORACLE_SQL = None
 
 
