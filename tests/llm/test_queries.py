@@ -109,12 +109,11 @@ def test_op9(spark, sf_dir, rows):
     assert sharding.locate(np.array([0]), np.array([0]), 8, 100, 1).tolist() == [int(np.flatnonzero(sharding.permute(np.arange(100), 100, 1) == 0)[0])]
 
 
-def test_op7(spark, sf_dir, rows):
-    """Measures, base verdict, votes, posterior by an own EM, and kept."""
-    got = registry.queries()["op7_weak_supervision"](spark, sf_dir).collect()
-    votes, seen = {}, []
-    for key, text, *_ in rows:
-        t = text or ""
+def brute_quality(rows):
+    """(row, measures with the base verdict, posterior by an own EM) of each row."""
+    seen = []
+    for row in rows:
+        t = row[1] or ""
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
         grams, covered = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)), set()
         for i in range(len(w) - 4):
@@ -128,10 +127,8 @@ def test_op7(spark, sf_dir, rows):
             (n < 12, n >= 60), (c / n < 3 or c / n > 10, 3.5 <= c / n <= 9), (symbols / n > 0.1, symbols / n <= 0.02), (marked / n > 0.2, marked / n <= 0.05),
             (len(lines) >= 3 and dup / max(1, len(lines)) > 0.3, len(lines) >= 3 and dup == 0), (len(covered) / n > 0.1, n >= 20 and not covered), (upper / c > 0.3, upper / c < 0.1), (shout / n > 0.2, shout / n < 0.02), (digits / c > 0.3, digits / c < 0.1),
         ]
-        vote = np.array([2 if bad else int(good) for bad, good in rule])
         failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
-        votes[key, text] = vote
-        seen.append((key, text, len(w), sum(map(len, w)), symbols, dup, len(covered), failed, vote))
+        seen.append((row, (len(w), sum(map(len, w)), symbols, dup, len(covered), failed), np.array([2 if bad else int(good) for bad, good in rule])))
     v = np.array([x[-1] for x in seen])
     good, bad = v == 1, v == 2
     post = np.where(bad.any(1), (1 + good.sum(1)) / (2 + good.sum(1) + 2 * bad.sum(1)), 0.95)
@@ -140,6 +137,12 @@ def test_op7(spark, sf_dir, rows):
         g = ((post[:, None] * good).sum(0) + 18) / ((post[:, None] * (good | bad)).sum(0) + 20)
         b = (((1 - post)[:, None] * bad).sum(0) + 10) / (((1 - post)[:, None] * (good | bad)).sum(0) + 20)
         post = 1 / (1 + np.exp(-(np.log(share / (1 - share)) + good @ np.log(g / (1 - b)) + bad @ np.log((1 - g) / b))))
-    want = Counter((*x[:1], *x[2:8], bool(p >= 0.5 and not x[7])) for x, p in zip(seen, post, strict=True))
-    assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["kept"]) for r in got) == want
-    assert np.allclose(sorted(r["posterior"] for r in got), sorted(post), atol=1e-4)
+    return [(row, found, p) for (row, found, _), p in zip(seen, post.tolist(), strict=True)]
+
+
+def test_op7(spark, sf_dir, rows):
+    """Measures, base verdict, posterior and kept."""
+    got = registry.queries()["op7_weak_supervision"](spark, sf_dir).collect()
+    want = brute_quality(rows)
+    assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["kept"]) for r in got) == Counter((row[0], *found, p >= 0.5 and not found[-1]) for row, found, p in want)
+    assert np.allclose(sorted(r["posterior"] for r in got), sorted(p for _, _, p in want), atol=1e-4)
