@@ -6,6 +6,13 @@ commits it.  What is visible is a latest-wins view over revisions.  An index
 generation and sealed segments are folders of their own; ``manifest-N.json``
 names them, and ``CURRENT`` names the newest valid manifest.  One process writes.
 
+An index generation holds the live rows of its revision whole, with typed
+metadata columns and by list.  What is read of a built collection is the index
+without the ids of later revisions, and the latest-wins view of these revisions
+alone: no read shuffles the whole log, filters are pushed to Parquet, and a
+search opens the lists it probes.  A result must be read before the index it is
+of is two manifests old.
+
 Paths are on a file system that the driver mounts; the data itself is read and
 written by Spark.
 """
@@ -31,6 +38,8 @@ from ..operators import ivf, search
 from ..operators.topk import merged_top_k
 from ..plans import planner
 
+#: Column names that metadata may not have.
+RESERVED = frozenset(("position", "id", "revision", "vector", "norm", "indexed", "list_id", "list_score", "op", "metadata", "ordinal"))
 MUTATION = "op string, id string, vector array<float>, metadata string, ordinal long"
 
 
@@ -86,6 +95,8 @@ class Collection:
     def create(cls, spark, path: str, dim: int, metric: str = "cosine", schema: str = "", maintenance: Maintenance = Maintenance()) -> Collection:  # noqa: B008
         if metric not in ("cosine", "dot") or dim < 1:
             raise ValueError("a metric is cosine or dot, and dim is positive")
+        if clash := RESERVED & {f.name.lower() for f in spark.createDataFrame([], schema).schema} if schema else set():
+            raise ValueError(f"metadata may not have a column {min(clash)}")
         if os.path.exists(f"{path}/CURRENT"):
             raise FileExistsError(path)
         os.makedirs(f"{path}/revisions", exist_ok=True)
@@ -212,22 +223,40 @@ class Collection:
 
     # -- views ------------------------------------------------------------------------
 
-    def _log(self) -> DataFrame:
-        paths = [f"{self.path}/revisions/{r}" for r in range(self.manifest.base, self.manifest.revision + 1) if os.path.isdir(f"{self.path}/revisions/{r}")]
+    def _log(self, after: int = 0) -> DataFrame:
+        """The mutations of revisions beyond ``after``."""
+        paths = [f"{self.path}/revisions/{r}" for r in range(max(self.manifest.base, after + 1), self.manifest.revision + 1) if os.path.isdir(f"{self.path}/revisions/{r}")]
         if not paths:
             return self.spark.createDataFrame([], f"{MUTATION}, revision long")
         each = self.spark.read.schema(MUTATION).parquet(*paths)
         return each.withColumn("revision", F.regexp_extract(F.col("_metadata.file_path"), r"/revisions/([0-9]+)/", 1).cast("long"))
 
-    def rows(self) -> DataFrame:
-        """The live rows: position (1-based), id, revision, vector, norm, indexed, metadata columns."""
+    def _live(self, after: int = 0) -> DataFrame:
+        """The live rows among those mutations: the last one of each id, if it puts."""
         newest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("revision"), F.desc("ordinal")))
-        live = self._log().withColumn("_n", newest).where("_n = 1 and op = 'PUT'")
+        live = self._log(after).withColumn("_n", newest).where("_n = 1 and op = 'PUT'")
         body = F.from_json("metadata", self.manifest.schema) if self.manifest.schema else None
         seen = self.manifest.index_revision or 0
         out = live.select((F.col("revision") * F.lit(1 << 32) + F.col("ordinal")).alias("position"), "id", "revision", "vector", norm(F.col("vector")).alias("norm"), (F.col("revision") <= seen).alias("indexed"), *([body.alias("_m")] if body is not None else []))
         return out.select("*", "_m.*").drop("_m") if body is not None else out
 
+    def _delta(self) -> DataFrame:
+        """The live rows that are in no list."""
+        return self._live(self.manifest.index_revision or 0)
+
+    def _indexed_rows(self) -> tuple[DataFrame, DataFrame]:
+        """The live rows in lists, with list_id and list_score, and the lists."""
+        at, seen = f"{self.path}/{self.manifest.index}", self.manifest.index_revision
+        rows = self.spark.read.parquet(f"{at}/rows").withColumn("indexed", F.lit(True))
+        if seen < self.manifest.revision:
+            rows = rows.join(self._log(seen).select("id"), "id", "left_anti")
+        return rows, self.spark.read.parquet(f"{at}/centroids")
+
+    def rows(self) -> DataFrame:
+        """The live rows: position (1-based), id, revision, vector, norm, indexed, metadata columns."""
+        delta = self._delta()
+        return self._indexed_rows()[0].select(*delta.columns).union(delta) if self.is_built else delta
+
     def ids(self) -> DataFrame:
         return self.rows().select("id")
 
@@ -342,11 +371,13 @@ class Collection:
         with self._thread:
             self._writable()
             seen = self.manifest.revision
-            rows = self.rows().cache()
+            rows = self._live().drop("indexed").cache()
             matrix = ivf.trained(rows, nlists, iterations, seed, self.manifest.metric, restarts, training_count)
-            placed = ivf.assigned_fast(rows.select("position", "id", "vector", "norm"), matrix, self.manifest.metric)
+            placed = ivf.assigned_fast(rows, matrix, self.manifest.metric)
             name = f"index-{seen}-{uuid.uuid4().hex[:8]}"
-            placed.write.partitionBy("list_id").parquet(f"{self.path}/{name}/rows")
+            # small lists go to a file each, large ones to several tasks
+            placed.hint("rebalance", "list_id").write.partitionBy("list_id").parquet(f"{self.path}/{name}/rows")
+            rows.unpersist()
             held = self.spark.read.parquet(f"{self.path}/{name}/rows")
             ivf.list_statistics(held, ivf.centroid_table(self.spark, matrix), self.manifest.metric).coalesce(1).write.parquet(f"{self.path}/{name}/centroids")
             self._hook("index_written")
@@ -370,7 +401,7 @@ class Collection:
         """
         with self._thread:
             self._writable()
-            rows = self.rows().drop("norm", "indexed").orderBy("position")
+            rows = self._live().drop("norm", "indexed").orderBy("position")
             extra = [c for c in rows.columns if c not in ("id", "vector", "position", "revision")]
             body = F.to_json(F.struct(*extra)) if extra else F.lit("{}")
             whole = rows.select(F.lit("PUT").alias("op"), "id", "vector", body.alias("metadata"), F.row_number().over(Window.orderBy("position")).cast("long").alias("ordinal"))
@@ -444,23 +475,18 @@ class Collection:
         return self.spark.createDataFrame([(m.dim, m.metric, m.revision, m.index_revision, m.nlists, c["base"] + c["delta"], c["base"], c["delta"], c["tombstones"], c["segments"], self.is_built, self.is_dirty)], "dim int, metric string, revision long, index_revision long, nlists int, live long, base long, delta long, tombstones long, segments int, built boolean, dirty boolean")
 
     def check(self) -> None:
-        """Raise if a live row is not admissible or an indexed row is in no or in several lists."""
-        rows = self.rows()
+        """Raise if a live row is not admissible, or the lists do not hold each indexed row of the log once."""
+        rows = self._live()
         if not rows.where(~admissible(F.col("vector"), self.manifest.dim, self.manifest.metric)).isEmpty():
             raise ValueError("a stored vector is not admissible")
         if self.is_built:
-            lists = self.spark.read.parquet(f"{self.path}/{self.manifest.index}/rows").groupBy("position").count()
-            bad = rows.where("indexed").join(lists, "position", "left").where("count is null or count <> 1")
-            if not bad.isEmpty():
+            lists = self._indexed_rows()[0].groupBy("position").count()
+            bad = rows.where("indexed").select("position").join(lists, "position", "full").where("count is null or count <> 1")
+            if not bad.isEmpty() or lists.count() != rows.where("indexed").count():
                 raise ValueError("an indexed row is not in exactly one list")
 
     # -- search ----------------------------------------------------------------------
 
-    def _indexed_rows(self) -> tuple[DataFrame, DataFrame]:
-        at = f"{self.path}/{self.manifest.index}"
-        lists = self.spark.read.parquet(f"{at}/rows").select("position", "list_id", "list_score")
-        return self.rows().where("indexed").join(lists, "position"), self.spark.read.parquet(f"{at}/centroids")
-
     def plan(self, where=None, k: int = 10, strategy: str = "auto", config: planner.Config = planner.Config()) -> planner.Plan:  # noqa: B008
         where = normalized(where)
 
@@ -491,9 +517,8 @@ class Collection:
             if name == "filter_aware_bound" and metric != "cosine":
                 raise ValueError("bounds hold for cosine only")
         p = self.plan(where, k, strategy, config)
-        rows = self.rows()
         if not self.is_built or p.strategy in ("exact", "prefilter_exact"):
-            return search.exact(rows, q, k, metric, where)
+            return search.exact(self.rows(), q, k, metric, where)
         base, centroids = self._indexed_rows()
         low = nprobe or p.nprobe or 1
         high = max_nprobe or (low if nprobe else max(low, p.max_nprobe))
@@ -509,6 +534,8 @@ class Collection:
             found = search.filter_aware(base, centroids, q, where, k, low, metric, adaptive=high > low, max_nprobe=high, **options)
         else:
             found = search.bound_search(base, centroids, q, where, k, high)
-        delta = search.exact(rows.where("not indexed"), q, k, metric, where)
-        keep = [c for c in delta.columns if c in found.columns]
-        return merged_top_k([found.select(*keep), delta.select(*keep)], k).drop("segment_no")
+        delta = self._delta()
+        keep = ["query_id", "rank", "position", "score", *(c for c in delta.columns if c not in ("position", "vector", "norm"))]
+        if not self.is_dirty:
+            return found.select(*keep)
+        return merged_top_k([found.select(*keep), search.exact(delta, q, k, metric, where).select(*keep)], k).select(*keep)

@@ -1,14 +1,14 @@
+import hashlib
 import json
+import math
 import os
 import random
 
-import hashlib
-
 import numpy as np
 import pytest
 
-from orvane.sources.collection import Collection, CommittedError, Maintenance
 from orvane.sources import files
+from orvane.sources.collection import Collection, CommittedError, Maintenance
 from orvane.streaming.ingest import ingest
 
 SCHEMA = "id string, vector array<double>, side string, n int"
@@ -266,3 +266,32 @@ def test_varying_ivecs_raw_matrices_and_bundles(spark, tmp_path, monkeypatch):
     (tmp_path / "data/v.fvecs").write_bytes(b"\0" * 108)
     with pytest.raises(ValueError, match="v.fvecs"):
         files.load_bundle(spark, str(tmp_path / "data"), manifest, {"base": "v.fvecs"})
+
+
+def test_search_reads_probed_lists_and_later_revisions_only(spark, tmp_path):
+    c = made(spark, tmp_path / "c")
+    rows = [(f"r{i}", (math.cos(i), math.sin(i)), "xy"[i % 2], i % 7) for i in range(300)]
+    c.insert(frame(spark, rows))
+    c.build(6, iterations=3)
+    clean = c.search([[1, 0]], k=3, strategy="ivf", nprobe=6)
+    want = [(r["id"], r["n"]) for r in c.search([[1, 0]], k=3, strategy="exact").orderBy("rank").collect()]
+    assert [(r["id"], r["n"]) for r in clean.orderBy("rank").collect()] == want
+    c.update("r0", metadata={"side": "z", "n": 3})
+    c.delete([want[1][0]])
+    found = c.search([[1, 0]], where={"n": 3}, k=3, strategy="ivf_prefilter", nprobe=6)
+    assert found.columns == clean.columns == ["query_id", "rank", "position", "score", "id", "revision", "indexed", "side", "n"]
+    scans = [x for x in found._jdf.queryExecution().toString().split("\n") if "FileScan parquet" in x]
+    lists = next(x for x in scans if "vector" in x and "list_id" in x)
+    assert "dynamicpruning" in lists.split("PartitionFilters")[1] and "EqualTo(n,3)" in lists
+    assert not any("revisions/1]" in x or "revisions/1," in x for x in scans)
+    assert {r["id"]: r["indexed"] for r in found.collect()}["r0"] is False
+    live = {r["id"]: r["n"] for r in c.rows().collect()}
+    assert live == {i: (3 if i == "r0" else n) for i, _, _, n in rows if i != want[1][0]}
+    assert {r["id"]: r["n"] for r in c._live().collect()} == live
+    c.check()
+    c.close()
+
+
+def test_metadata_may_not_have_the_collection_s_own_names(spark, tmp_path):
+    with pytest.raises(ValueError, match="list_id"):
+        Collection.create(spark, str(tmp_path / "c"), 2, schema="side string, list_id int")
