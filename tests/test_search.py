@@ -201,3 +201,46 @@ def test_a_stored_index_reads_the_probed_lists_only(spark, tmp_path):
     plan = search._probed(held.where(compiled(Eq("label", 3), held.schema, settle=False)), probes, q, "cosine")._jdf.queryExecution().toString()
     scan = next(x for x in plan.split("\n") if "FileScan parquet" in x and "list_id" in x)
     assert "dynamicpruning" in scan.split("PartitionFilters")[1] and "EqualTo(label,3)" in scan
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot"])
+def test_list_search_by_matrix_products(spark, monkeypatch, metric):
+    """The same rows and doubles as the plain forms, with copies, ties between lists, rows without a norm and small tiles."""
+    r = np.random.default_rng(6)
+    vectors = [r.integers(-2, 3, 6).tolist() for _ in range(40)] + r.normal(size=(40, 6)).tolist()
+    vectors = [[float(x) for x in v] if any(v) else [1.0] * 6 for v in vectors] * 3
+    data = [(i, v, i % 7, None if i % 11 == 0 else i % 4) for i, v in enumerate(vectors)] + [(500, None, 1, 1), (501, None, 2, 2)]
+    rows = spark.createDataFrame(data, "position long, vector array<float>, label int, list_id int").withColumn("norm", V.norm(F.col("vector")))
+    c = spark.createDataFrame([(i, r.normal(size=6).tolist()) for i in (0, 1, 2, 3, None)], "list_id int, centroid array<double>")
+    q = search.with_norm(rows.where("position % 9 = 0").select(F.col("position").alias("query_id"), F.col("vector").cast("array<double>").alias("query")))
+    got = lambda df: sorted(map(tuple, df.select("query_id", "rank", "position", "score").collect()))
+    where = {"label": 1}
+    known = rows.where("list_id is not null")
+    for tile in (search.TILE_SCORES, 50):
+        monkeypatch.setattr(search, "TILE_SCORES", tile)
+        monkeypatch.setattr(search, "PAIRS", tile)
+        monkeypatch.setattr(search, "BLOCK_VALUES", tile * 4)
+        assert got(search.ivf_fast(rows, c, q, 5, None, metric)) == got(search.exact(rows, q, 5, metric))
+    assert got(search.ivf_fast(rows, c, q, 60, None, metric, where)) == got(search.exact(rows, q, 60, metric, where))
+    assert got(search.ivf_fast(known, c, q, 5, 2, metric)) == got(search.ivf(known, c, q, 5, 2, metric))
+    bad = search.with_norm(spark.createDataFrame([(1, None)], "query_id long, query array<double>"))
+    assert got(search.ivf_fast(rows, c, q.unionByName(bad), 5, None, metric)) == got(search.exact(rows, q.unionByName(bad), 5, metric))
+    assert got(search.ivf_fast(rows.limit(0), c, q, 5)) == got(search.ivf_fast(rows, c, q.limit(0), 5)) == []
+
+
+def test_all_lists_of_the_query_are_all_rows(spark, tmp_path):
+    """More than ten lists, and equal scores in several of them, come out as in SQL; no row is scored one pair at a time."""
+    import duckdb
+
+    from orvane.plans import catalog
+
+    r = np.random.default_rng(8)
+    vectors = np.eye(8)[r.integers(0, 8, 400)] + np.eye(8)[r.integers(0, 8, 400)]
+    data = [(i, [float(x) for x in v], int(r.integers(0, 14))) for i, v in enumerate(vectors)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = catalog.queries()["ivf_all_lists_equals_exact"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(catalog.oracle_sql()["ivf_all_lists_equals_exact"]).fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
