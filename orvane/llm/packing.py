@@ -70,12 +70,17 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         total = np.zeros(encode.library.get_vocab_size(), np.int64)
+        last, count = np.zeros(len(total), np.int32), np.arange(1 << 16, dtype=np.int32)
         end, names = np.array([end_id], encode.dtype).tobytes(), ["doc_id", "n", "crcs", "tail", "mix", "df"]
         for batch in batches:
             sizes, crcs, tails = [], [], []
             for text in batch["text"].to_pylist():
                 ids = np.frombuffer(encode.encode(text) + end, encode.dtype)
-                total[np.unique(ids)] += 1
+                if len(ids) > len(count):
+                    count = np.arange(2 * len(ids), dtype=np.int32)
+                at = count[: len(ids)]
+                last[ids] = at
+                total[ids[last[ids] == at]] += 1  # each id once, where it stands last
                 whole = len(ids) // WINDOW * WINDOW
                 crcs.append([zlib.crc32(ids[a : a + WINDOW].astype("<u4")) for a in range(0, whole, WINDOW)])
                 sizes.append(len(ids))
@@ -297,7 +302,8 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
 
     # equal contents are split by their hash, so that no range has them all
     tasks = max(1, min(shuffle_tasks(spark), n_docs // SHARD), n_docs // (SHARDS * SHARD))
-    placed_rows = tails.mapInArrow(lean_batches(placed), "doc_id long, n long, tail binary, mix long, place long")
+    # written, since a range partition reads its input twice
+    placed_rows = written(tails.mapInArrow(lean_batches(placed), "doc_id long, n long, tail binary, mix long, place long"), "placed")
     dealt = placed_rows.repartitionByRange(tasks, "place", "mix").sortWithinPartitions("place", "mix", "doc_id")
     return whole.unionByName(dealt.select("doc_id", "n", "tail").mapInArrow(lean_batches(pack), PIECES))
 

@@ -19,7 +19,7 @@ import numpy as np
 from .common import MODELS
 
 #: Entries of a memo after which it ages: it is the old one then, and what is used from there comes into the new one.
-MEMO = 250_000
+MEMO = 500_000
 #: Longer pieces are encoded each time.
 LONG = 64
 _LOCK = threading.Lock()
@@ -58,16 +58,32 @@ class _Memo(dict):
             self.clear()
 
 
+class _Signs(dict):
+    """The signs of a character's bytes."""
+
+    def __init__(self):
+        super().__init__()
+        self.of_byte = byte_signs()
+
+    def __missing__(self, char: str) -> str:
+        out = self[char] = "".join(self.of_byte[b] for b in char.encode())
+        return out
+
+
 class _Pieces(_Memo):
     """Ids of pre-tokens; a missing one is encoded by the library's model."""
 
-    def __init__(self, model, kind: str):
+    def __init__(self, model, kind: str, n_ids: int):
         super().__init__()
-        self.model, self.kind, self.signs = model, kind, byte_signs()
+        self.tokenize, self.signs = model.tokenize, _Signs()
+        self.one = [array(kind, [k]).tobytes() for k in range(n_ids)]
 
     def made(self, piece: str) -> bytes:
-        found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.signs))
-        return array(self.kind, [t.id for t in found]).tobytes()
+        return self.of_signs("".join(map(self.signs.__getitem__, piece)))
+
+    def of_signs(self, signs: str) -> bytes:
+        one = self.one
+        return b"".join([one[t.id] for t in self.tokenize(signs)])
 
 
 class _Chunks(_Memo):
@@ -76,14 +92,16 @@ class _Chunks(_Memo):
     def __init__(self, lead: str, pieces: _Pieces, cut):
         super().__init__()
         self.lead, self.pieces, self.cut = lead, pieces, cut
+        self.signs, self.of_signs = pieces.signs.__getitem__, pieces.of_signs
+        self.lead_sign = "".join(map(self.signs, lead))
 
     def made(self, chunk: str) -> bytes | None:
+        if chunk.isalpha():  # letters alone are one pre-token
+            return self.of_signs(self.lead_sign + (chunk if chunk.isascii() else "".join(map(self.signs, chunk))))
         if not chunk:
             return None if self.lead else b""
         if chunk[0].isspace() or chunk[-1].isspace():
             return None
-        if chunk.isalpha():  # letters alone are one pre-token
-            return self.pieces.made(self.lead + chunk)
         if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
             return self[chunk[:-1]] + self.pieces[chunk[-1]]
         return b"".join(map(self.pieces.__getitem__, self.cut(self.lead + chunk)))
@@ -103,7 +121,7 @@ class BpeEncoder:
         small = self.library.get_vocab_size() <= 65_536
         self.dtype = np.dtype("<u2" if small else "<u4")
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
-        self.pieces = _Pieces(self.library.model, "H" if small else "I")
+        self.pieces = _Pieces(self.library.model, "H" if small else "I", self.library.get_vocab_size())
         self.first, self.later = _Chunks("", self.pieces, self.cut), _Chunks(" ", self.pieces, self.cut)
         self.breaks = self.pieces["\n"]
 
